@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lattica.llm import quality_rules
+from lattica.llm import mixing, quality_rules
 
 QUERIES = {
+    "op6_source_mixing": mixing.op6_source_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLES = {
+    "op6_source_mixing": mixing.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
