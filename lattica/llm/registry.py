@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import mixing, quality_rules
+from lattica.llm import mixing, pii, quality_rules
 
 QUERIES = {
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
