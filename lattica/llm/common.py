@@ -92,3 +92,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., list]], schema:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow)], schema=arrow)
 
     return df.mapInArrow(run, fields)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text, y of at most ``most`` labelled documents that aren't held out, in hash order.
+
+    The bound is a parameter of the fit; it makes the broadcast of the chosen ids bounded too.
+    """
+    chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), 3) != 1))
+    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")

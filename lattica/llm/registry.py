@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lattica.llm import mixing, pii, quality_rules
+from lattica.llm import mixing, pii, quality_rules, toxicity
 
 QUERIES = {
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
