@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.llm import mixing, pii, quality_rules, toxicity
+from lattica.llm import mixing, pii, quality, quality_rules, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
