@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lattica.llm import language_id, mixing, pii, quality, quality_rules, toxicity
+from lattica.llm import language_id, mixing, pii, quality, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_language_id": language_id.op3_language_id,
+    "op4_simhash": simhash.op4_simhash,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
