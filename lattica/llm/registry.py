@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import language_id, mixing, pii, quality, quality_rules, simhash, toxicity
+from lattica.llm import decontaminate, language_id, mixing, pii, quality, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
