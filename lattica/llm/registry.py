@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, language_id, mixing, pii, quality, quality_rules, simhash, toxicity
+from lattica.llm import decontaminate, language_id, lm_score, mixing, pii, quality, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_language_id": language_id.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
     "op6_source_mixing": mixing.op6_source_mixing,
