@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, language_id, lm_score, mixing, pii, quality, quality_rules, simhash, toxicity
+from lattica.llm import decontaminate, language_id, lm_score, mixing, pii, quality, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_lm_score": lm_score.op2_lm_score,
     "op3_language_id": language_id.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality_rules.op8_quality_rules,
