@@ -243,3 +243,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op3: the language of every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs))
+
+
+def keep_identified(docs: DataFrame, *, min_score: float = 0.5, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """The documents whose language is told with min_score at least, all columns kept; no join is needed."""
+    fitted = fit(docs, docs_per_language)
+    at = docs.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def make():
+        labeller = Labeller(fitted["p"], len(fitted["langs"])) if fitted["langs"] else None
+
+        def rows(*columns):
+            langs, scores = predict(labeller, fitted["langs"], columns[at])
+            ok = [x != "und" and s >= min_score for x, s in zip(langs, scores)]
+            return [[v for v, k in zip(c, ok) if k] for c in columns]
+
+        return rows
+
+    return map_batches(docs, make, schema)

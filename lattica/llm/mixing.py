@@ -94,7 +94,8 @@ def mix(docs: DataFrame, *, budget_share: float = 0.6, max_epochs: int = 2, weig
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("avail"))
     plan = budgets(leaves, budget_share, max_epochs, weights).filter("avail > 0")
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("avail")).cast("long")).withColumn("rest", F.expr("budget - whole * avail"))
-    # Leaves are few and their plan is small, but its joins leave their way to Spark's own size check.
+    # Written, the plan of the leaves has a known size: small it is broadcast, else joined by a shuffle.
+    plan = Written(plan, "plan").read()
     d = rows.join(plan, list(LEVELS))
     d = d.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     d = d.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, *, budget_share: float = 0.6, max_epochs: int = 2, weig
     upto = Window.partitionBy(*LEVELS).orderBy("range")
     sums = sums.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens"))
     cut = sums.filter("before <= rest and before + tokens > rest").groupBy(*LEVELS).agg(F.min("range").alias("cut"), F.min_by("before", "range").alias("before"))
-    d = d.join(cut, list(LEVELS), "left")
+    d = d.join(Written(cut, "cut").read(), list(LEVELS), "left")
     # Only the range in which the rest runs out is put in order.
     edge = d.filter("range = cut").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key")) + F.col("before"))
     edge = edge.withColumn("more", (F.col("upto") <= F.col("rest")).cast("long")).drop("upto")

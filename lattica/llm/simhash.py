@@ -216,3 +216,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op4: fingerprints and components of all of ``documents``."""
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each component, that with the least doc_id; all columns kept.
+
+    A row without doc_id goes by a negative number made of its text. Rows that share a doc_id count as one.
+    """
+    named = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.coalesce("text", F.lit(""))) / 2).cast("long")))
+    groups = near_groups(named.select(F.col("_key").alias("doc_id"), "text"), shingle=shingle, max_bits=max_bits)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
