@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -244,7 +244,7 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def averaged(parts: DataFrame, fan_in: int = 32) -> np.ndarray | None:
+def averaged(parts: DataFrame, fan_in: int = 8) -> np.ndarray | None:
     """The mean of packed weights by tokens, from rows (part, weights, n), at most fan_in of them in a task."""
 
     def merge(t: pa.Table) -> pa.Table:
@@ -365,22 +365,42 @@ def count_pass(rows: DataFrame, common: list[bytes], n_ranges: int) -> DataFrame
     return rows.mapInArrow(run_pass, "range int, entries binary, slot int, n long")
 
 
-def range_sums(t: pa.Table) -> pa.Table:
-    """A range's tokens counted in training documents, then summed: rows (key, s, known) by document, rows (look, N, V) by look."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for c in t.column("entries").chunks for x in c])
-    _, first, token = np.unique(e["hash"], return_index=True, return_inverse=True)
-    train, n = e["n"] > 0, np.abs(e["n"]).astype(np.int64)
-    c = np.bincount(token[train], n[train], len(first))
-    keys, doc = np.unique(e["key"], return_inverse=True)
-    s = np.bincount(doc, n * np.log10(c + 1)[token], len(keys))
-    known = np.bincount(doc, n * (c > 0)[token], len(keys))
-    looks = e["look"][first]
-    big_n, big_v = np.bincount(looks, c, N_LOOKS), np.bincount(looks, c > 0, N_LOOKS)
-    k, m = len(keys), N_LOOKS
-    return pa.table({
-        "key": pa.array([*keys.tolist(), *[None] * m], pa.int64()), "s": pa.array([*s.tolist(), *[0.0] * m], pa.float64()), "known": pa.array([*known.astype(np.int64).tolist(), *[0] * m], pa.int64()),
-        "look": pa.array([*[None] * k, *range(m)], pa.int32()), "n": pa.array([*[0] * k, *big_n.astype(np.int64).tolist()], pa.int64()), "v": pa.array([*[0] * k, *big_v.astype(np.int64).tolist()], pa.int64()),
-    })
+SUM = np.dtype([("key", "<i8"), ("s", "<f8"), ("known", "<i8")])
+SUMS = "range int, sums binary, look int, n long, v long"
+
+
+def range_sums(n_ranges: int) -> Callable[[pa.Table], pa.Table]:
+    """A range's tokens counted in training documents, then summed: sums of documents packed by range of their key, and rows (look, N, V)."""
+
+    def reduce(t: pa.Table) -> pa.Table:
+        e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for c in t.column("entries").chunks for x in c])
+        _, first, token = np.unique(e["hash"], return_index=True, return_inverse=True)
+        train, n = e["n"] > 0, np.abs(e["n"]).astype(np.int64)
+        c = np.bincount(token[train], n[train], len(first))
+        keys, doc = np.unique(e["key"], return_inverse=True)
+        x = np.zeros(len(keys), SUM)
+        x["key"], x["s"] = keys, np.bincount(doc, n * np.log10(c + 1)[token], len(keys))
+        x["known"] = np.bincount(doc, n * (c > 0)[token], len(keys)).astype(np.int64)
+        r = (((keys >> 32) + (1 << 31)) * n_ranges) >> 32  # rises with the key
+        at = np.flatnonzero(np.diff(r, prepend=-1))
+        blobs = [y.tobytes() for y in np.split(x, at[1:])] if len(x) else []
+        looks = e["look"][first]
+        big_n, big_v = np.bincount(looks, c, N_LOOKS).astype(np.int64), np.bincount(looks, c > 0, N_LOOKS).astype(np.int64)
+        k, m = len(at), N_LOOKS
+        return pa.table({
+            "range": pa.array([*r[at].tolist(), *[None] * m], pa.int32()), "sums": pa.array([*blobs, *[None] * m], pa.binary()),
+            "look": pa.array([*[None] * k, *range(m)], pa.int32()), "n": pa.array([*[0] * k, *big_n.tolist()], pa.int64()), "v": pa.array([*[0] * k, *big_v.tolist()], pa.int64()),
+        })
+
+    return reduce
+
+
+def document_sums(t: pa.Table) -> pa.Table:
+    """The sums of a range of documents, a row for each."""
+    x = np.concatenate([np.frombuffer(b.as_buffer(), SUM) for c in t.column("sums").chunks for b in c])
+    keys, doc = np.unique(x["key"], return_inverse=True)
+    known = np.bincount(doc, x["known"], len(keys)).astype(np.int64)
+    return pa.table({"key": pa.array(keys, pa.int64()), "s": pa.array(np.bincount(doc, x["s"], len(keys)), pa.float64()), "known": pa.array(known, pa.int64())})
 
 
 def score_pass(rows: DataFrame, common: list[bytes], p: dict[str, np.ndarray], counts: np.ndarray, looks: np.ndarray) -> DataFrame:
@@ -427,12 +447,12 @@ def lm_scores(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, train_share: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
     common, p = fit(rows.filter("not held_out"), sample_docs, train_share)
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    counted = Written(count_pass(rows, common, max(16, chars // RANGE_CHARS)), "counts")
+    n_ranges = max(16, chars // RANGE_CHARS)
+    counted = Written(count_pass(rows, common, n_ranges), "counts")
     counts = np.zeros(len(common), np.int64)
     for r in counted.read().filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[r.slot] = r.n
-    schema = "key long, s double, known long, look int, n long, v long"
-    sums = Written(counted.read().filter("range is not null").select("range", "entries").groupBy("range").applyInArrow(range_sums, schema), "sums")
+    sums = Written(counted.read().filter("range is not null").select("range", "entries").groupBy("range").applyInArrow(range_sums(n_ranges), SUMS), "sums")
     counted.drop()
     big_n, big_v = np.zeros(N_LOOKS), np.zeros(N_LOOKS)
     for r in sums.read().filter("look is not null").groupBy("look").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
@@ -444,7 +464,8 @@ def lm_scores(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, train_share: i
     scored = score_pass(rows, common, p, counts, np.log10(big_n + big_v + 1))
     zero = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("model", "double"))]
     parts = scored.select("key", "doc_id", "held_out", "n_tokens", "model", "known", "base", F.lit(1).alias("m"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("k"))
-    rare = sums.read().filter("key is not null").select("key", *zero, F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0).alias("m"), "s", F.col("known").alias("k"))
+    rare = sums.read().filter("range is not null").select("range", "sums").groupBy("range").applyInArrow(document_sums, "key long, s double, known long")
+    rare = rare.select("key", *zero, F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0).alias("m"), "s", F.col("known").alias("k"))
     # Rows that repeat id and text share a key: what was summed for all of them is divided again.
     one = parts.union(rare).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("model").alias("model"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("k").alias("k"))
     out = one.filter("m > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))

@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ LONE = len(DISTANCES)
 UNIT = np.dtype([("hash", "<u8"), ("key", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("how", "u1")])
 CLASSED = np.dtype([("hash", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("key", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("how", "u1")])
 WINDOW = np.dtype([("hash", "<u8"), ("c1", "<u8"), ("key", "<i8"), ("lo", "<i4"), ("mark", "u1"), ("how", "u1")])
+KEYED = np.dtype([("key", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("mark", "u1")])
 PLACE = np.dtype([("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("mark", "u1")])
 #: how: an entry to be compared; one that stands for several of its task, itself settled; one that is settled.
 PLAIN, SEVERAL, SETTLED = 0, 1, 2
@@ -128,15 +130,45 @@ def settle(e: np.ndarray, fields: list[str]) -> np.ndarray:
     return np.concatenate((e, more))
 
 
-def blocks_of(e: np.ndarray, n_ranges: int) -> pa.RecordBatch:
-    """Packed by range of the hash, settled entries by range of the key."""
-    r = np.where(e["how"] == SETTLED, e["key"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), e["hash"])
-    r = ((r >> np.uint64(32)).astype(np.int64) * n_ranges) >> 32
+def squeeze(e: np.ndarray) -> bytes:
+    """Entries field by field, places as distances, compressed."""
+    x = {f: e[f] for f in e.dtype.names}
+    for f in ("lo", "hi"):
+        if f in x and "a" in x:
+            x[f] = x["a"] - x[f]
+    return zstandard.compress(b"".join(np.ascontiguousarray(x[f]).tobytes() for f in e.dtype.names), 1)
+
+
+def loosen(b: bytes, kind: np.dtype) -> np.ndarray:
+    raw = zstandard.decompress(b)
+    out, at = np.empty(len(raw) // kind.itemsize, kind), 0
+    for f in kind.names:
+        size = len(out) * kind[f].itemsize
+        out[f] = np.frombuffer(raw[at : at + size], kind[f])
+        at += size
+    for f in ("lo", "hi"):
+        if f in kind.names and "a" in kind.names:
+            out[f] = out["a"] - out[f]
+    return out
+
+
+def split_by_range(e: np.ndarray, h: np.ndarray, n_ranges: int) -> tuple[np.ndarray, list[bytes]]:
+    """The ranges of the 64-bit values h, and each one's entries packed."""
+    r = ((h >> np.uint64(32)).astype(np.int64) * n_ranges) >> 32
     order = np.argsort(r, kind="stable")
     e, r = e[order], r[order]
     first = np.flatnonzero(np.diff(r, prepend=-1))
-    parts = [x.tobytes() for x in np.split(e, first[1:])] if len(e) else []
-    return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int32()), pa.array(parts, pa.binary())], names=["range", "entries"])
+    return r[first], [squeeze(x) for x in np.split(e, first[1:])] if len(e) else []
+
+
+def mixed_key(key: np.ndarray) -> np.ndarray:
+    return key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def blocks_of(e: np.ndarray, n_ranges: int) -> pa.RecordBatch:
+    """Packed by range of the hash, settled entries by range of the key."""
+    r, parts = split_by_range(e, np.where(e["how"] == SETTLED, mixed_key(np.ascontiguousarray(e["key"])), e["hash"]), n_ranges)
+    return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(parts, pa.binary())], names=["range", "entries"])
 
 
 def packed_pass(df: DataFrame, entries: Callable[[list, list, list], np.ndarray], fields: list[str], n_ranges: int) -> DataFrame:
@@ -158,60 +190,71 @@ def packed_pass(df: DataFrame, entries: Callable[[list, list, list], np.ndarray]
 
 
 def unpack(t: pa.Table, kind: np.dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in t.column("entries").chunks for x in c])
-
+    return np.concatenate([loosen(x.as_py(), kind) for c in t.column("entries").chunks for x in c])
 
-def by_key(e: np.ndarray, places: np.ndarray, goal: np.ndarray) -> pa.Table:
-    """Rows (key, goal, places): the places of each text, by goal."""
-    order = np.lexsort((goal, e["key"]))
-    e, places, goal = e[order], places[order], goal[order]
-    new = np.flatnonzero((np.diff(e["key"], prepend=0) != 0) | (np.diff(goal.astype(np.int64), prepend=-1) != 0) | (np.arange(len(e)) == 0))
-    parts = [x.tobytes() for x in np.split(places, new[1:])] if len(e) else []
-    return pa.table({"key": pa.array(e["key"][new], pa.int64()), "goal": pa.array(goal[new], pa.int32()), "places": pa.array(parts, pa.binary())})
 
-
-def as_places(e: np.ndarray, mark: np.ndarray | int = 1) -> np.ndarray:
-    out = np.zeros(len(e), PLACE)
-    for f in ("a", "lo", "hi", "kind"):
+def by_key(e: np.ndarray, goal: np.ndarray, mark: np.ndarray, n_ranges: int) -> pa.Table:
+    """Rows (range, goal, entries): the places of texts, packed by range of the key."""
+    out = np.zeros(len(e), KEYED)
+    for f in ("key", "a", "lo", "hi", "kind"):
         if f in e.dtype.names:
             out[f] = e[f]
     if "hi" not in e.dtype.names:
-        out["hi"] = e["lo"]
+        out["a"] = out["hi"] = e["lo"]
     out["mark"] = mark
-    return out
+    ranges, goals, parts = [], [], []
+    for g in (REPEAT, COMPARE):
+        x = out[goal == g]
+        r, p = split_by_range(x, mixed_key(np.ascontiguousarray(x["key"])), n_ranges)
+        ranges += r.tolist()
+        goals += [g] * len(r)
+        parts += p
+    return pa.table({"range": pa.array(ranges, pa.int32()), "goal": pa.array(goals, pa.int32()), "entries": pa.array(parts, pa.binary())})
+
+
+def gather(t: pa.Table) -> pa.Table:
+    """A row (key, places) for each text of a range of keys."""
+    e = np.unique(unpack(t, KEYED))
+    first = np.flatnonzero(np.diff(e["key"], prepend=0) != 0) if len(e) else np.zeros(0, np.int64)
+    if len(e) and (not len(first) or first[0] != 0):  # the first key may be 0
+        first = np.concatenate(([0], first))
+    places = np.empty(len(e), PLACE)
+    for f in PLACE.names:
+        places[f] = e[f]
+    parts = [x.tobytes() for x in np.split(places, first[1:])] if len(e) else []
+    return pa.table({"key": pa.array(e["key"][first], pa.int64()), "places": pa.array(parts, pa.binary())})
 
 
 REPEAT, COMPARE = 0, 1
-PLACES = "key long, goal int, places binary"
+PLACES = "range int, goal int, entries binary"
 
 
-def repeated_units(t: pa.Table) -> pa.Table:
+def repeated_units(t: pa.Table, n_ranges: int) -> pa.Table:
     """Round 1: the units of a range whose hash occurs twice."""
     e = unpack(t, UNIT)
     settled, e = e[e["how"] == SETTLED], e[e["how"] != SETTLED]
     _, same = np.unique(e["hash"], return_inverse=True)
     n = np.bincount(same, 1 + (e["how"] == SEVERAL))
     e = np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)]))
-    return by_key(e, as_places(e), np.full(len(e), COMPARE, np.int32))
+    return by_key(e, np.full(len(e), COMPARE), np.ones(len(e)), n_ranges)
 
 
-def repeated_classes(t: pa.Table) -> pa.Table:
+def repeated_classes(t: pa.Table, n_ranges: int) -> pa.Table:
     """Round 2: units that repeat as a whole; and one unit of each class where a hash has several."""
     e = unpack(t, CLASSED)
     settled, e = e[e["how"] == SETTLED], e[e["how"] != SETTLED]
     _, first, same = np.unique(e[["hash", "c1", "c2"]], return_index=True, return_inverse=True)
     n = np.bincount(same, 1 + (e["how"] == SEVERAL), len(first))
     whole = np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)]))
-    one, weight = e[first], n
+    one = e[first]
     _, group, classes = np.unique(one["hash"], return_inverse=True, return_counts=True)
     k = classes[group] > 1 if len(one) else np.zeros(0, bool)
     more = one[k]
-    every = np.concatenate((whole, more))
-    places = np.concatenate((as_places(whole), as_places(more, (weight[k] < 2).astype(np.uint8))))
-    return by_key(every, places, np.concatenate((np.full(len(whole), REPEAT, np.int32), np.full(len(more), COMPARE, np.int32))))
+    goal = np.concatenate((np.full(len(whole), REPEAT), np.full(len(more), COMPARE)))
+    return by_key(np.concatenate((whole, more)), goal, np.concatenate((np.ones(len(whole)), n[k] < 2)), n_ranges)
 
 
-def repeated_windows(t: pa.Table) -> pa.Table:
+def repeated_windows(t: pa.Table, n_ranges: int) -> pa.Table:
     """Round 3: the windows to be marked whose hash occurs twice."""
     e = unpack(t, WINDOW)
     settled, e = e[e["how"] == SETTLED], e[e["how"] != SETTLED]
@@ -219,7 +262,7 @@ def repeated_windows(t: pa.Table) -> pa.Table:
     n = np.bincount(same, 1 + (e["how"] == SEVERAL))
     e = np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)]))
     e = e[e["mark"] > 0]
-    return by_key(e, as_places(e), np.full(len(e), REPEAT, np.int32))
+    return by_key(e, np.full(len(e), REPEAT), np.ones(len(e)), n_ranges)
 
 
 def _bytes(text: str | None) -> bytes:
@@ -248,14 +291,10 @@ def first_round(keys: list[int], texts: list[str | None], _: list) -> np.ndarray
     return e
 
 
-def _places(blobs: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(b, PLACE) for b in blobs]))
-
-
-def second_round(keys: list[int], texts: list[str | None], blobs: list[list[bytes]]) -> np.ndarray:
+def second_round(keys: list[int], texts: list[str | None], blobs: list[bytes]) -> np.ndarray:
     out = [np.zeros(0, CLASSED)]
     for key, text, x in zip(keys, texts, blobs):
-        p, view = _places(x), memoryview(_bytes(text))
+        p, view = np.frombuffer(x, PLACE), memoryview(_bytes(text))
         e = np.zeros(len(p), CLASSED)
         a, kind = p["a"].astype(np.int64), p["kind"].astype(np.int64)
         e["hash"] = hash64(view, *common_bytes(a, kind)) ^ (kind.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
@@ -267,10 +306,10 @@ def second_round(keys: list[int], texts: list[str | None], blobs: list[list[byte
     return np.concatenate(out)
 
 
-def third_round(keys: list[int], texts: list[str | None], blobs: list[list[bytes]]) -> np.ndarray:
+def third_round(keys: list[int], texts: list[str | None], blobs: list[bytes]) -> np.ndarray:
     out = [np.zeros(0, WINDOW)]
     for key, text, x in zip(keys, texts, blobs):
-        p, view = _places(x), memoryview(_bytes(text))
+        p, view = np.frombuffer(x, PLACE), memoryview(_bytes(text))
         n = p["hi"] - p["lo"] + 1
         s = np.concatenate([np.arange(lo, hi + 1) for lo, hi in zip(p["lo"].tolist(), p["hi"].tolist())])
         e = np.zeros(len(s), WINDOW)
@@ -299,25 +338,30 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     n = max(16, chars // RANGE_CHARS)
     long = docs.filter(F.octet_length("text") >= LENGTH)
 
+    def places_of(found: DataFrame) -> DataFrame:
+        return found.select("range", "entries").groupBy("range").applyInArrow(gather, "key long, places binary")
+
     def with_places(found: DataFrame) -> DataFrame:
-        return long.join(found.groupBy("key").agg(F.collect_list("places").alias("places")), "key").select("key", "text", "places")
+        return long.join(places_of(found), "key").select("key", "text", "places")
+
+    def reduced(entries: DataFrame, reduce: Callable[[pa.Table, int], pa.Table]) -> DataFrame:
+        return entries.groupBy("range").applyInArrow(lambda t: reduce(t, n), PLACES)
 
     one = packed_pass(long.select("key", "text", F.lit(None).cast("int").alias("none")), first_round, ["hash"], n)
-    one = Written(one.groupBy("range").applyInArrow(repeated_units, PLACES), "units")
+    one = Written(reduced(one, repeated_units), "units")
     two = packed_pass(with_places(one.read()), second_round, ["hash", "c1", "c2"], n)
-    two = Written(two.groupBy("range").applyInArrow(repeated_classes, PLACES), "classes")
+    two = Written(reduced(two, repeated_classes), "classes")
     one.drop()
     three = packed_pass(with_places(two.read().filter(F.col("goal") == COMPARE)), third_round, ["hash", "c1"], n)
-    three = three.groupBy("range").applyInArrow(repeated_windows, PLACES)
-    found = two.read().filter(F.col("goal") == REPEAT).unionByName(three)
-    joined = docs.join(found.groupBy("key").agg(F.collect_list("places").alias("places")), "key", "left").select("doc_id", "text", "places")
+    found = two.read().filter(F.col("goal") == REPEAT).unionByName(reduced(three, repeated_windows))
+    joined = docs.join(places_of(found), "key", "left").select("doc_id", "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc_id, text, blobs in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, text, places in zip(*(c.to_pylist() for c in b.columns)):
                 raw = _bytes(text)
-                runs = removed_runs(_places(blobs)) if blobs else []
+                runs = removed_runs(np.frombuffer(places, PLACE)) if places else []
                 kept, at = hashlib.sha256(), 0
                 for s, e in runs:
                     kept.update(raw[at:s])
