@@ -1,6 +1,6 @@
 """LM scoring: a gated recurrent language model in numpy, with a class-factored softmax.
 
-Tokens fall into classes: the ``HEAD`` most frequent tokens of a sample in classes of 64 by frequency,
+Tokens fall into classes: the ``HEAD`` most frequent tokens of all training texts in classes of 64 by frequency,
 every other token in a class by its look (first letter, closing sign, letters of a language, digits, length), so
 that an unseen token has a class too. The network reads a token (head tokens by themselves, others by
 their class) and predicts the next one as P(class | state) * P(token | class, state) for head tokens and
@@ -9,12 +9,12 @@ the counts of all training texts. Windows of 32 tokens pass their state on, so a
 a whole from its first token to its end.
 
 Training: truncated backpropagation on a bounded sample gives a start; then every task trains its own
-copy on its part of a fixed share of all training texts, and the copies are averaged by their tokens.
+copy on its part of all training texts, and the copies are averaged by their tokens.
 
-Scale: tokens are counted without a table of all tokens on any machine. A pass over the texts scores
-them and packs (hash, document, count) of tokens outside the ``COMMON`` most frequent ones of the sample
+Scale: tokens are counted without a table of all tokens on any machine. Counts of the ``COMMON`` most
+frequent ones come to the driver. A pass over the texts packs (hash, document, count) of the others
 into blocks by hash range; a task takes a range's blocks and counts and sums it for each document, first
-training documents to get the counts, then all documents. Sums of common tokens are dense arrays.
+training documents to get the counts, then all documents.
 Shuffled bytes grow with the input; what reaches the driver (counts by class, averaged weights, common
 tokens) doesn't.
 
@@ -46,7 +46,6 @@ WINDOW = 32
 LANES = 256
 COMMON = 32_768
 SAMPLE_DOCS = 1_500
-TRAIN_SHARE = 16
 EPOCHS = 3
 RANGE_CHARS = 10_000_000
 RUN_TOKENS = 2_000_000
@@ -267,11 +266,8 @@ def averaged(parts: DataFrame, fan_in: int = 8) -> np.ndarray | None:
     return sum(np.frombuffer(r.weights, np.float32) * (r.n / total) for r in found) if total else None
 
 
-def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, train_share: int = TRAIN_SHARE) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    """The common tokens of a bounded sample and a start learned from it; then weights averaged over tasks' training."""
-    rows = train.select("text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("r"))
-    chosen = rows.select("r").distinct().orderBy("r").limit(sample_docs)
-    sample = Written(rows.join(F.broadcast(chosen), "r"), "sample").read()
+def common_tokens(train: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent tokens of all training texts, and their counts."""
 
     def make_counts():
         def count(texts):
@@ -282,8 +278,16 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, train_share: int = TRA
 
         return count
 
-    counts = map_batches(sample.select("text"), make_counts, "t binary, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    common = [bytes(r.t) for r in counts.orderBy(F.desc("n"), "t").limit(COMMON).collect()]
+    counts = map_batches(train.select("text"), make_counts, "t binary, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "t").limit(COMMON).collect()
+    return [bytes(r.t) for r in found], np.array([r.n for r in found], np.int64)
+
+
+def fit(train: DataFrame, common: list[bytes], sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
+    """A start learned from a bounded sample; then weights averaged over tasks' training on all texts."""
+    rows = train.select("text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("r"))
+    chosen = rows.select("r").distinct().orderBy("r").limit(sample_docs)
+    sample = Written(rows.join(F.broadcast(chosen), "r"), "sample").read()
 
     def make_ids():
         ids = Ids(common)
@@ -313,9 +317,8 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, train_share: int = TRA
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pack(own).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "weights", "n"])
 
     small_batches(train.sparkSession)
-    share = rows.filter(F.pmod("r", F.lit(train_share)) == 0).select("r", "text")
-    mean = averaged(share.mapInArrow(tune, "part long, weights binary, n long"))
-    return common, p if mean is None else unpack(mean, p)
+    mean = averaged(rows.select("r", "text").mapInArrow(tune, "part long, weights binary, n long"))
+    return p if mean is None else unpack(mean, p)
 
 
 def key_of(doc_id: int | None, text: str | None) -> int:
@@ -327,11 +330,10 @@ ENTRY = np.dtype([("hash", "<u8"), ("key", "<i8"), ("n", "<i4"), ("look", "u1")]
 
 
 def count_pass(rows: DataFrame, common: list[bytes], n_ranges: int) -> DataFrame:
-    """Rows (slot, n): counts of common tokens in training texts; and (range, entries): packed counts of the others by document."""
+    """Rows (range, entries): packed counts of the tokens outside the common ones, by document."""
 
     def run_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, looks = {t: i for i, t in enumerate(common)}, {}
-        dense = np.zeros(len(common), np.int64)
+        known, looks = set(common), {}
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -341,15 +343,12 @@ def count_pass(rows: DataFrame, common: list[bytes], n_ranges: int) -> DataFrame
             e, r = e[order := np.argsort(r, kind="stable")], r[order]
             first = np.flatnonzero(np.diff(r, prepend=-1))
             blobs = [x.tobytes() for x in np.split(e, first[1:])] if len(e) else []
-            return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.int64())], names=["range", "entries", "slot", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int32()), pa.array(blobs, pa.binary())], names=["range", "entries"])
 
         for b in batches:
             for doc_id, held_out, text in zip(*(c.to_pylist() for c in b.columns)):
                 words, key, sign = tokens(text), key_of(doc_id, text), -1 if held_out else 1
-                at = [place.get(w, -1) for w in words]
-                if not held_out:
-                    dense += np.bincount(np.array(at) + 1, minlength=len(common) + 1)[1:]
-                for w, n in Counter(w for w, i in zip(words, at) if i < 0).items():
+                for w, n in Counter(w for w in words if w not in known).items():
                     k = looks.get(w)
                     if k is None:
                         k = look(w)
@@ -359,10 +358,8 @@ def count_pass(rows: DataFrame, common: list[bytes], n_ranges: int) -> DataFrame
             if len(held) > RUN_TOKENS // 4:
                 yield flush()
         yield flush()
-        at = np.flatnonzero(dense)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(dense[at], pa.int64())], names=["range", "entries", "slot", "n"])
 
-    return rows.mapInArrow(run_pass, "range int, entries binary, slot int, n long")
+    return rows.mapInArrow(run_pass, "range int, entries binary")
 
 
 SUM = np.dtype([("key", "<i8"), ("s", "<f8"), ("known", "<i8")])
@@ -441,18 +438,17 @@ def score_pass(rows: DataFrame, common: list[bytes], p: dict[str, np.ndarray], c
     return rows.mapInArrow(run_pass, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
 
 
-def lm_scores(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, train_share: int = TRAIN_SHARE) -> DataFrame:
+def lm_scores(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    common, p = fit(rows.filter("not held_out"), sample_docs, train_share)
+    train = rows.filter("not held_out")
+    common, counts = common_tokens(train)
+    p = fit(train, common, sample_docs)
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_ranges = max(16, chars // RANGE_CHARS)
     counted = Written(count_pass(rows, common, n_ranges), "counts")
-    counts = np.zeros(len(common), np.int64)
-    for r in counted.read().filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[r.slot] = r.n
-    sums = Written(counted.read().filter("range is not null").select("range", "entries").groupBy("range").applyInArrow(range_sums(n_ranges), SUMS), "sums")
+    sums = Written(counted.read().groupBy("range").applyInArrow(range_sums(n_ranges), SUMS), "sums")
     counted.drop()
     big_n, big_v = np.zeros(N_LOOKS), np.zeros(N_LOOKS)
     for r in sums.read().filter("look is not null").groupBy("look").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():

@@ -195,6 +195,23 @@ def test_lm_base_counts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_all_texts(spark, monkeypatch):
+    """Every training text reaches the tuning, and the head is ranked by the counts of all of them."""
+    rows = [(i, f"{'late ' * 9}w{i}" if i else "early start") for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    common, counts = lm_score.common_tokens(train)
+    assert dict(zip(common, counts.tolist())) == Counter(t for _, x in rows for t in lm_score.tokens(x)) and common[0] == b"late"
+    seen, averaged = [], lm_score.averaged
+
+    def spy(parts):
+        seen.extend(r.n for r in parts.collect())
+        return averaged(parts)
+
+    monkeypatch.setattr(lm_score, "averaged", spy)
+    lm_score.fit(train, common, 1)
+    assert sum(seen) == sum(len(lm_score.tokens(x)) for _, x in rows)
+
+
 def test_lm_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "a A"), (7, "x " * 30000)]
     out = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
