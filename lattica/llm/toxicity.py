@@ -2,7 +2,8 @@
 
 The channel swaps letters for look-alikes (l33t), spaces or dots them out, and repeats them. A
 token that shows such signs becomes a lattice of the letters each sign may stand for, and Viterbi
-picks the path that the channel and a character trigram model make likeliest. The model is counted
+picks the path that the channel and a character trigram model make likeliest. A run of single
+characters is one lattice, in which a space is nothing or a word break. The model is counted
 over all training texts. Words and word beginnings that labelled toxic documents hold far more
 often than others are the features of a logistic regression over the restored words.
 
@@ -40,7 +41,8 @@ TWINS = str.maketrans("аеорсухіѕјԁкмтвн", "aeopcyxisjdkmtbh")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ENDS = ".,;:!?\"'()[]{}«»…#%&*|~^=/\\<>-_`"
 ODD = re.compile(r"[0-9@$!|+(<€£¡*._\-Ѐ-ӿ]|(\w)\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*€])(?: {1,2}(?:[^\W_]|[@$!|+*€])){3,}(?!\S)")
+MORE = re.compile(r"(.)\1{3,}")
+SPACED = re.compile(r"""(?<!\S)["'(\[{«]*(?:[^\W_]|[@$!|+*€])(?: {1,2}(?:[^\W_]|[@$!|+*€])){2,}(?=[.,;:!?"')\]}»…]*(?!\S))""")
 
 
 def codes() -> np.ndarray:
@@ -91,7 +93,7 @@ def char_model(train: DataFrame) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi over the lattice of a token."""
+    """Viterbi over the lattice of a token or a run of single characters."""
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = {} if model is None else model.tolist()
@@ -113,17 +115,19 @@ class Decoder:
                 options = [(x, -0.7) for x in LOOKALIKES[c]] + [("", -9.0)]
                 if n > 1:
                     options += [(x * 2, -1.0) for x in LOOKALIKES[c]]
+            elif c == " ":
+                options = [("", -0.5), (" ", -1.0)] if n == 1 else [("", -1.0), (" ", -0.5)]
             else:
-                options = [("", -0.3)]
+                options = [("", -0.3), (" ", -1.5)]
             out.append(options)
         return out
 
     def decode(self, token: str) -> str:
-        best = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         m = self.model
         for options in [*self.lattice(token), [(" ", 0.0)]]:
-            now: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in best.items():
                 for letters, p in options:
                     s, x, y = score + p, a, b
                     for ch in letters.encode("utf-8"):
@@ -132,9 +136,13 @@ class Decoder:
                         x, y = (0, 0) if z == 0 else (y, z)
                     old = now.get((x, y))
                     if old is None or s > old[0]:
-                        now[x, y] = (s, text + letters)
+                        now[x, y] = (s, (path, letters))
             best = now
-        return max(best.values())[1].strip()
+        path, out = max(best.values(), key=lambda v: v[0])[1], []
+        while path is not None:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out)).strip()
 
 
 class Restorer:
@@ -144,13 +152,14 @@ class Restorer:
         self.decoder, self.cache = Decoder(model), {}
 
     def word(self, raw: str) -> str:
+        """The restored token; words that a sign parted have a space between them."""
         found = self.cache.get(raw)
         if found is None:
-            w = raw.lower().translate(TWINS).strip(ENDS)
+            w = raw.lower().translate(TWINS).strip(ENDS + " ")
             if w[-2:-1] in ("$", "@") and w[-3:] == w[-1] * 3:
                 w = w.rstrip("$@")  # a run of signs behind a word is mere noise
-            if len(w) <= 40 and ODD.search(w) and any(map(str.isalpha, w)):
-                w = self.decoder.decode(w)
+            if any(map(str.isalpha, w)) and (" " in w or ODD.search(w)):
+                w = self.decoder.decode(MORE.sub(r"\1\1\1", w))  # more than three of a sign stand for what three do
             found = w
             if len(self.cache) >= CACHE:
                 self.cache.clear()
@@ -161,8 +170,10 @@ class Restorer:
         if not text:
             return set()
         out = set(map(self.word, set(text.split())))
-        for m in SPACED.finditer(text):
-            out.add(self.word(m[0].replace(" ", "")))
+        out.update(self.word(m[0]) for m in SPACED.finditer(text))
+        for w in [w for w in out if " " in w]:
+            out.remove(w)
+            out.update(w.split())
         out.discard("")
         return out
 

@@ -162,6 +162,20 @@ def test_decoder_restores():
         assert (word in r.words(raw)) if word else r.words(raw) == set()
 
 
+def test_decoder_parts_words():
+    words = ["you", "are", "a", "stupid", "person", "die", "now", "trash", "there", "nation"]
+    m = toxicity.count_trigrams(" ".join(words * 50).encode()).reshape(32, 32, 32).astype(float)
+    two = m.sum(0) + 0.5
+    two /= two.sum(1, keepdims=True)
+    r = toxicity.Restorer(np.log((m + 5 * two) / (m.sum(2, keepdims=True) + 5)).astype(np.float32))
+    for raw, expected in (
+        ("you are a s t u p i d person", {"you", "are", "a", "stupid", "person"}), ("y o u a r e s t u p i d", {"you", "are", "stupid"}), ("(s t u p i d!)", {"stupid"}), ("d i e", {"die"}),
+        ("tra" + "s" * 60 + "h", {"trash"}), ("y.o.u.-.a.r.e.-.s.t.u.p.i.d.-.p.e.r.s.o.n.-.n.o.w", {"you", "are", "stupid", "person", "now"}),
+    ):
+        assert expected <= r.words(raw), (raw, r.words(raw))
+        assert not any(len(w) > 6 for w in r.words(raw) if w.isalpha() and len(w) < 40), raw
+
+
 def scored(name, spark):
     docs, labels = common.table(spark, SF.replace("0.001", "0.01"), "documents"), common.table(spark, SF.replace("0.001", "0.01"), "labels")
     return docs, labels, {r.doc_id: r for r in QUERIES[name](spark, SF.replace("0.001", "0.01")).collect()}
