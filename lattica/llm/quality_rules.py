@@ -2,12 +2,13 @@
 
 Each document's words, symbols, repeated lines and repeated 3-word windows are measured inside the
 row. Lines are then normalised (lower case, white space collapsed) and hashed; the documents of a
-host that hold a line are counted, lines above the host's limit are removed, and a document that
-loses more than ``max_removed`` of its word characters is rejected as depleted.
+host that hold a line are counted, lines above the host's limit are removed from the text (the others
+are joined again in their order), and a document that loses more than ``max_removed`` of its word characters is rejected as depleted.
 
 Scale: one row a line is shuffled as two longs and an int, counts are combined before the shuffle
 (a line that a third of all documents share costs one row a task), and the join back to the lines
-is an equi-join on (host, line) that adaptive execution splits where a line is hot.
+is an equi-join on (host, line) that adaptive execution splits where a line is hot. Texts move once,
+to meet the places of their removed lines.
 
 Defined results: a null or empty text has no words or lines (all counts 0, ``base_failed`` true);
 a null source is the host ''; repeated rows count as separate documents and get equal results; an
@@ -29,20 +30,25 @@ def _letters(c: Column) -> Column:
     return F.length(F.translate(c, WHITE, "")).cast("long")
 
 
+def _worded(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def _lines(text: Column) -> Column:
     """The \\n-split lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(text, "\n"), _worded)
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text_hash and the base measures of each document."""
+    """doc_id, host, text_hash, text and the base measures of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), text.alias("t"))
+    d = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), "text", text.alias("t"))
     d = d.select("*", F.array_remove(F.split("t", WORD_SEP), "").alias("w"), _lines(F.col("t")).alias("ln"))
     d = d.select(
         "doc_id",
         "host",
         F.xxhash64("t").alias("text_hash"),
+        "text",
         F.size("w").cast("long").alias("n_words"),
         _letters(F.col("t")).alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -63,18 +69,24 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: host, doc_id, text_hash, i, line, chars, first (in its document)."""
+    """A row for each line with a word: host, doc_id, text_hash, i (its place among all lines), line, first (in its document)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, WORD_SEP, " "))))
-    d = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), _lines(text).alias("ln"))
-    d = d.select("doc_id", "host", "text_hash", F.transform("ln", lambda x: F.struct(norm(x).alias("line"), _letters(x).alias("chars"))).alias("ln"))
-    d = d.withColumn("keys", F.transform("ln", lambda x: x["line"]))
-    d = d.select("doc_id", "host", "text_hash", "keys", F.posexplode("ln").alias("i", "x"))
-    return d.select("doc_id", "host", "text_hash", "i", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"), (F.array_position("keys", F.col("x.line")) == F.col("i") + 1).alias("first"))
+    d = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("ln"))
+    d = d.select("doc_id", "host", "text_hash", F.transform("ln", lambda x: F.when(_worded(x), norm(x))).alias("keys"))
+    d = d.select("doc_id", "host", "text_hash", "keys", F.posexplode("keys").alias("i", "line")).filter("line is not null")
+    return d.select("doc_id", "host", "text_hash", "i", "line", (F.array_position("keys", F.col("line")) == F.col("i") + 1).alias("first"))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at these places (from 0)."""
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
 def quality_rules(docs: DataFrame, *, min_docs: int = 20, host_share: float = 0.002, max_removed: float = 0.5, min_words: int = 50) -> DataFrame:
-    """The measures of each document, ``removed_chars`` of lines above the limit, base_failed and kept.
+    """The measures of each document, its text without the lines above the limit, ``removed_chars`` of these, base_failed and kept.
 
     A line is above the limit if more than ``greatest(min_docs, host_share * documents of the host)``
     documents of its host hold it.
@@ -85,11 +97,13 @@ def quality_rules(docs: DataFrame, *, min_docs: int = 20, host_share: float = 0.
     counts = lines.filter("first").groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     # Few lines pass min_docs, so the join with each host's own limit sees little.
     frequent = counts.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > F.col("most")).select("host", "line")
-    # A document's removed characters; the inner group merges the lines of rows that repeat a document.
-    gone = lines.join(frequent, ["host", "line"], "left_semi").groupBy("doc_id", "host", "text_hash", "i").agg(F.first("chars").alias("chars"))
-    removed = gone.groupBy("doc_id", "host", "text_hash").agg(F.sum("chars").alias("removed"))
+    # The places of a document's removed lines; a set, as rows that repeat a document have the same.
+    gone = lines.join(frequent, ["host", "line"], "left_semi").groupBy("doc_id", "host", "text_hash").agg(F.collect_set("i").alias("places"))
     on = F.col("m.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("m.host") == F.col("r.host")) & (F.col("m.text_hash") == F.col("r.text_hash"))
-    out = m.alias("m").join(removed.alias("r"), on, "left").select("m.*", F.coalesce("r.removed", F.lit(0)).alias("removed_chars"))
+    out = m.alias("m").join(gone.alias("r"), on, "left").select("m.*", "r.places")
+    out = out.withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("places"))))
+    lost = F.when(F.col("places").isNull(), F.lit(0).cast("long")).otherwise(F.col("word_chars") - _letters(F.col("text")))
+    out = out.withColumn("removed_chars", lost).drop("places")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("removed_chars") > F.lit(max_removed) * F.col("word_chars")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)

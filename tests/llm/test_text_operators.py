@@ -108,6 +108,15 @@ def test_quality_rules_remove_common_lines(spark):
     assert not any(out[100 + i].kept for i in range(25))
 
 
+def test_quality_rules_return_texts_without_common_lines(spark):
+    top, end = "Home | About | Contact us", "all rights  Reserved"
+    rows = [(i, f"{top}\n\nown {i} line\n{end.upper() if i % 2 else end}\nown {i} line\n", "en", "h", 1, "") for i in range(30)] + [(99, f"{top}\n{end}", "en", "other", 1, ""), (100, None, "en", "h", 1, "")]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: out[i].text for i in range(30)} == {i: f"\nown {i} line\nown {i} line\n" for i in range(30)}
+    assert out[99].text == f"{top}\n{end}" and out[100].text is None and out[99].removed_chars == out[100].removed_chars == 0
+    assert all(out[i].removed_chars == len("".join((top + end).split())) for i in range(30))
+
+
 def test_quality_rules_repeated_rows(spark, awkward):
     out = quality_rules.quality_rules(awkward.union(awkward)).collect()
     assert len(out) == 2 * len(AWKWARD)
