@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import map_batches, table
 
 #: Places that count in a window of 8 words.
-MASKS = ("11111100", "11011011", "10110111", "11101101", "10111101")
+MASKS = ("11111100", "11011011", "10110111", "11101101", "10111101", "11010111", "10111011", "11011101")
 SPAN = 8
 MIN_MATCH = 8
 MIN_DISTINCT = 4

@@ -160,6 +160,15 @@ def test_decontaminate(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block_chars=20).collect()} == set(got)
 
 
+@pytest.mark.parametrize("period", [4, 5, 6])
+def test_decontaminate_regular_substitutions(spark, period):
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    text = " ".join("zzz" if i % period == period - 1 else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, "")], SCHEMA)
+    assert [r.item_id for r in decontaminate.contaminated(docs, bench).collect()] == [1]
+
+
 # Toxicity.
 def test_decoder_restores():
     words = ["idiot", "trash", "loser", "there", "nation", "other", "those"]
