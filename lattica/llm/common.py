@@ -61,7 +61,7 @@ class Written:
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         atexit.register(_remove_quietly, self.spark, self.path)
 
     def read(self) -> DataFrame:

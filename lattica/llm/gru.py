@@ -6,11 +6,10 @@ import numpy as np
 
 
 def sigmoid(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    out = np.multiply(x, np.float32(0.5), out=out)
-    np.tanh(out, out=out)
+    out = np.negative(x, out=out)
+    np.exp(out, out=out)
     out += np.float32(1)
-    out *= np.float32(0.5)
-    return out
+    return np.reciprocal(out, out=out)
 
 
 def init(rng: np.random.Generator, n_in: int, h: int) -> dict[str, np.ndarray]:
@@ -53,26 +52,32 @@ def backward(dhs: np.ndarray, u: np.ndarray, kept: tuple) -> tuple[np.ndarray, n
     """Gradients of the input projections and of U, from those of the states; truncated at the window's start."""
     h0, hs, zr, n, hn = kept
     t, h, b = hs.shape
-    dx, du, da = np.empty((t, 3 * h, b), np.float32), np.zeros_like(u), np.empty((3 * h, b), np.float32)
-    dh = np.zeros((h, b), np.float32)
+    before = np.concatenate((h0[None], hs[:-1]))
+    z, r = zr[:, :h], zr[:, h:]
+    # What each gate makes of a change of the state, for all steps at once.
+    by_new = (1 - z) * (1 - n * n)
+    by_update = (before - n) * z * (1 - z)
+    by_reset = hn * r * (1 - r)
+    dx, da = np.empty((t, 3 * h, b), np.float32), np.empty((t, 3 * h, b), np.float32)
+    dh, back = np.zeros((h, b), np.float32), np.empty((h, b), np.float32)
+    ut = np.ascontiguousarray(u.T)
     for i in range(t - 1, -1, -1):
-        prev = hs[i - 1] if i else h0
-        z, r = zr[i, :h], zr[i, h:]
-        dh = dh + dhs[i]
-        dn = dh * (1 - z) * (1 - n[i] * n[i])
-        dx[i, :h] = dh * (prev - n[i]) * z * (1 - z)
-        dx[i, h : 2 * h] = dn * hn[i] * r * (1 - r)
-        dx[i, 2 * h :] = dn
-        da[: 2 * h], da[2 * h :] = dx[i, : 2 * h], dn * r
-        du += da @ prev.T
-        dh = dh * z + u.T @ da
-    return dx, du
+        dh += dhs[i]
+        np.multiply(dh, by_new[i], out=dx[i, 2 * h :])
+        np.multiply(dh, by_update[i], out=dx[i, :h])
+        np.multiply(dx[i, 2 * h :], by_reset[i], out=dx[i, h : 2 * h])
+        da[i, : 2 * h] = dx[i, : 2 * h]
+        np.multiply(dx[i, 2 * h :], r[i], out=da[i, 2 * h :])
+        np.matmul(ut, da[i], out=back)
+        dh *= z[i]
+        dh += back
+    return dx, np.matmul(da, before.transpose(0, 2, 1)).sum(0)
 
 
 def input_gradient(dx: np.ndarray, at: np.ndarray, n_in: int) -> np.ndarray:
     """The gradient of W: that of the projections (T, 3H, B) summed by the symbols ``at`` (T, B)."""
     flat, sym = dx.transpose(0, 2, 1).reshape(-1, dx.shape[1]), at.reshape(-1)
-    order = np.argsort(sym, kind="stable")
+    order = np.argsort(sym.astype(np.int16) if n_in < 1 << 15 else sym, kind="stable")
     first = np.flatnonzero(np.diff(sym[order], prepend=-1))
     out = np.zeros((n_in, dx.shape[1]), np.float32)
     out[sym[order][first]] = np.add.reduceat(flat[order], first, axis=0)
@@ -80,21 +85,33 @@ def input_gradient(dx: np.ndarray, at: np.ndarray, n_in: int) -> np.ndarray:
 
 
 class Adam:
+    """Adam's steps; the parameters are changed in place and its own arrays are used again."""
+
     def __init__(self, p: dict[str, np.ndarray], lr: float) -> None:
         self.p, self.lr, self.t = p, lr, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.a = {k: np.empty_like(v) for k, v in p.items()}
 
     def step(self, g: dict[str, np.ndarray], clip: float = 5.0) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
+        norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
         scale = np.float32(min(1.0, clip / (norm + 1e-9)))
         lr = np.float32(self.lr * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, x in g.items():
-            x = x * scale
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.v[k] += np.float32(0.001) * (x * x - self.v[k])
-            self.p[k] -= lr * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-7))
+            m, v, a = self.m[k], self.v[k], self.a[k]
+            m *= np.float32(0.9)
+            np.multiply(x, np.float32(0.1) * scale, out=a)
+            m += a
+            v *= np.float32(0.999)
+            np.multiply(x, x, out=a)
+            a *= np.float32(0.001) * scale * scale
+            v += a
+            np.sqrt(v, out=a)
+            a += np.float32(1e-7)
+            np.divide(m, a, out=a)
+            a *= lr
+            self.p[k] -= a
 
 
 def softmax(x: np.ndarray, axis: int = -1) -> np.ndarray:

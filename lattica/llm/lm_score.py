@@ -8,19 +8,23 @@ P(class | state) * P(token | class) for the others; the latter is (c + 1) / (N_c
 the counts of all training texts. Windows of 32 tokens pass their state on, so a document is scored as
 a whole from its first token to its end.
 
-Training: truncated backpropagation on a bounded sample gives a start; then every task trains its own
-copy on its part of all training texts, and the copies are averaged by their tokens.
+Training: truncated backpropagation on a bounded sample gives a start. Then all training texts are dealt
+by hash to shards whose number follows their tokens; each shard trains its own copy on all its texts, in
+hash order, and the copies are averaged by their tokens. How rows lie in partitions doesn't matter.
 
 Scale: tokens are counted without a table of all tokens on any machine. Counts of the ``COMMON`` most
-frequent ones come to the driver. A pass over the texts packs (hash, document, count) of the others
-into blocks by hash range; a task takes a range's blocks and counts and sums it for each document, first
-training documents to get the counts, then all documents.
-Shuffled bytes grow with the input; what reaches the driver (counts by class, averaged weights, common
-tokens) doesn't.
-
-Defined results: a null or empty text has one token, its end; repeated rows get equal results; rows
-with the same doc_id are scored each by its own; with no training texts all counts are 0 and the model
-is the untrained one; an empty table gives an empty result; extra columns are ignored.
+frequent ones come to the driver. One pass encodes the texts in blocks of about ``BLOCK_TOKENS``: network
+inputs, sums over common tokens, and of the other tokens the hashes that a block holds, each once, with
+its count, packed by hash range. A task adds a range's counts up over all blocks and answers each block
+with them; a block's documents and its answers meet in one group, which is scored. So a token costs an
+entry a block, however many documents hold it, a document needs no key, and no group is larger than a
+block (and one document) or a range. What reaches the driver (counts by class, averaged weights, common
+tokens) doesn't grow with the input.
+
+Defined results: a null or empty text has one token, its end; repeated rows get equal results (up to
+rounding); rows with the same doc_id are scored each by its own; with no training texts all counts are 0
+and the model is the untrained one; an empty table gives an empty result; extra columns are ignored.
+Tokens outside the common ones are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +47,19 @@ from lattica.llm.common import Written, bucket_of, map_batches, small_batches, t
 
 HEAD = 1536
 CLASS = 64
-HIDDEN = 32
+HIDDEN = 24
+EMBED = 16
 WINDOW = 32
-LANES = 256
-COMMON = 32_768
+LANES = 128
+COMMON = 131_072
 SAMPLE_DOCS = 1_500
 EPOCHS = 3
-RANGE_CHARS = 10_000_000
-RUN_TOKENS = 2_000_000
+RANGE_CHARS = 40_000_000
+BLOCK_TOKENS = 1_000_000
+#: Shards of the training texts: SHARDS, fewer where they would hold less than LEAST_SHARD tokens, more where they would hold over MOST_SHARD.
+SHARDS, LEAST_SHARD, MOST_SHARD = 32, 250_000, 16_000_000
 CACHE = 600_000
+PLACES = 1024
 END = b"\n"
 N_HEAD = HEAD // CLASS
 #: Looks of tokens outside the head: 2 kinds of first letters, 2 closing signs, 5 kinds of letters, 3 lengths; and tokens with signs or digits inside.
@@ -76,35 +86,18 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-class Ids(dict):
-    """Token to input id: head tokens 0..HEAD-1, then the looks."""
-
-    def __init__(self, common: list[bytes]) -> None:
-        super().__init__()
-        self.head = {t: i for i, t in enumerate(common[:HEAD])}
-
-    def __missing__(self, t: bytes) -> int:
-        i = self.head.get(t)
-        i = HEAD + look(t) if i is None else i
-        if len(self) < CACHE:
-            self[t] = i
-        return i
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-
 def init(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    p = gru.init(rng, HEAD + N_LOOKS + 1, HIDDEN)  # the last input is that before the first token
+    p = gru.init(rng, EMBED, HIDDEN)
     return p | {
+        "E": rng.normal(0, 1, (HEAD + N_LOOKS + 1, EMBED)).astype(np.float32),  # the last input is that before the first token
         "C": rng.normal(0, 0.1, (N_CLASSES, HIDDEN)).astype(np.float32), "c": np.zeros((N_CLASSES, 1), np.float32),
         "O": rng.normal(0, 0.1, (N_HEAD, CLASS, HIDDEN)).astype(np.float32), "o": np.zeros((N_HEAD, CLASS, 1), np.float32),
     }
 
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < HEAD, ids // CLASS, ids - HEAD + N_HEAD)
+#: The class of each id.
+CLASS_OF = np.concatenate((np.arange(HEAD) // CLASS, np.arange(N_LOOKS) + N_HEAD, [-1])).astype(np.int16)  # the last is that of no target, -1
 
 
 def window(p: dict[str, np.ndarray], w: np.ndarray, x: np.ndarray, y: np.ndarray, h0: np.ndarray, learn: bool):
@@ -116,55 +109,65 @@ def window(p: dict[str, np.ndarray], w: np.ndarray, x: np.ndarray, y: np.ndarray
     t, b = x.shape
     proj = np.empty((t, 3 * HIDDEN, b), np.float32)
     for out, row in zip(proj, x):
-        out[:] = w[row].T
+        out[:] = w.take(row, 0).T
     hs, kept = gru.forward(proj, h0, p["U"], learn)
     h = np.ascontiguousarray(hs.transpose(1, 0, 2)).reshape(HIDDEN, t * b)
     flat = y.reshape(-1)
-    real = np.flatnonzero(flat >= 0)
-    h_r, cls = h[:, real], class_of(flat[real])
-    z = p["C"] @ h_r
-    z += p["c"]
-    z -= z.max(0)
-    e = np.exp(z)
-    total = e.sum(0)
-    n = len(real)
-    lp = z[cls, np.arange(n)] - np.log(total)
+    # Places by class, so that a head class is one run of columns; those without a target come first.
+    cls = CLASS_OF[flat]
+    order = np.argsort(cls, kind="stable")
+    back = np.empty_like(order)
+    back[order] = np.arange(t * b)
+    skip = int(np.count_nonzero(flat < 0))
+    real, cls = order[skip:], cls[order[skip:]]
+    target, h_r, n = flat[real], h.take(real, 1), max(len(real), 1)
+    bounds = np.searchsorted(cls, np.arange(N_HEAD + 1))
+    # States lie within -1..1: sums of this size can't overflow.
+    calm = max(np.abs(p["C"]).sum(-1).max() + np.abs(p["c"]).max(), np.abs(p["O"]).sum(-1).max() + np.abs(p["o"]).max()) < 60
+    lp = np.zeros(t * b, np.float32)
+    own = lp[skip:]
     g = {}
     if learn:
-        e /= total
-        e[cls, np.arange(n)] -= 1
-        e /= max(n, 1)
-        g["C"], g["c"] = e @ h_r.T, e.sum(1, keepdims=True)
-        dh_r = p["C"].T @ e
-        g["O"], g["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
-    head = np.flatnonzero(cls < N_HEAD)
-    order = head[np.argsort(cls[head], kind="stable")]
-    bounds = np.searchsorted(cls[order], np.arange(N_HEAD + 1))
-    for k in range(N_HEAD):
-        at = order[bounds[k] : bounds[k + 1]]
-        if not len(at):
-            continue
-        hk, target = h_r[:, at], flat[real[at]] - k * CLASS
-        z = p["O"][k] @ hk
-        z += p["o"][k]
-        z -= z.max(0)
-        e = np.exp(z)
-        total = e.sum(0)
-        lp[at] += z[target, np.arange(len(at))] - np.log(total)
+        dh_r = np.zeros((HIDDEN, t * b), np.float32)
+        dh_own = dh_r[:, skip:]
+        g = {k: np.zeros_like(p[k]) for k in "CcOo"}
+    for a in range(0, len(real), PLACES):
+        part = slice(a, a + PLACES)
+        own[part], e = likelihood(p["C"], p["c"], h_r[:, part], cls[part], calm, learn and n)
+        if learn:
+            g["C"] += e @ h_r[:, part].T
+            g["c"] += e.sum(1, keepdims=True)
+            np.matmul(p["C"].T, e, out=dh_own[:, part])
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        part = slice(bounds[k], bounds[k + 1])
+        more, e = likelihood(p["O"][k], p["o"][k], h_r[:, part], target[part] - k * CLASS, calm, learn and n)
+        own[part] += more
         if learn:
-            e /= total
-            e[target, np.arange(len(at))] -= 1
-            e /= n
-            g["O"][k], g["o"][k] = e @ hk.T, e.sum(1, keepdims=True)
-            dh_r[:, at] += p["O"][k].T @ e
-    out = np.zeros(t * b, np.float32)
-    out[real] = lp
+            g["O"][k], g["o"][k] = e @ h_r[:, part].T, e.sum(1, keepdims=True)
+            dh_own[:, part] += p["O"][k].T @ e
     if learn:
-        dh = np.zeros((HIDDEN, t * b), np.float32)
-        dh[:, real] = dh_r
-        dx, g["U"] = gru.backward(np.ascontiguousarray(dh.reshape(HIDDEN, t, b).transpose(1, 0, 2)), p["U"], kept)
-        g["W"], g["b"] = gru.input_gradient(dx, x, p["W"].shape[1]), dx.sum((0, 2))[:, None]
-    return out.reshape(t, b), hs[-1], g
+        dh = dh_r.take(back, 1).reshape(HIDDEN, t, b)
+        dx, g["U"] = gru.backward(np.ascontiguousarray(dh.transpose(1, 0, 2)), p["U"], kept)
+        embedded = p["E"].T.take(x, 1).transpose(1, 2, 0)  # (T, B, EMBED)
+        g["W"], g["b"] = np.matmul(dx, embedded).sum(0), dx.sum((0, 2))[:, None]
+        g["E"] = gru.input_gradient(np.matmul(p["W"].T, dx), x, len(p["E"])).T
+    return lp.take(back).reshape(t, b), hs[-1], g
+
+
+def likelihood(m: np.ndarray, bias: np.ndarray, h: np.ndarray, target: np.ndarray, calm: bool, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The log softmax of m h + bias at each column's target; with n the gradient of its negative's mean over n, by m h + bias."""
+    e = m @ h
+    e += bias
+    if not calm:
+        e -= e.max(0)
+    at = target.astype(np.int64) * h.shape[1] + np.arange(h.shape[1])
+    picked = e.ravel()[at]
+    np.exp(e, out=e)
+    total = e.sum(0)
+    if n:
+        e *= 1 / (total * np.float32(n))
+        e.ravel()[at] -= np.float32(1 / n)
+    return picked - np.log(total), e if n else None
 
 
 def lanes(docs: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +226,7 @@ def run(p: dict[str, np.ndarray], docs: list[np.ndarray], opt: gru.Adam | None =
 
 def inputs(p: dict[str, np.ndarray]) -> np.ndarray:
     """Input projections by row. The start symbol shuts the gates: it sets the state anew, so that nothing passes from one document to the next."""
-    w = np.ascontiguousarray((p["W"] + p["b"]).T)
+    w = p["E"] @ p["W"].T + p["b"].T
     w[HEAD + N_LOOKS, : 2 * HIDDEN] = SHUT
     return w
 
@@ -247,6 +250,7 @@ def averaged(parts: DataFrame, fan_in: int = 8) -> np.ndarray | None:
     """The mean of packed weights by tokens, from rows (part, weights, n), at most fan_in of them in a task."""
 
     def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
         n = t.column("n").to_numpy()
         total = np.zeros(0)
         for w, k in zip(t.column("weights"), n):
@@ -255,13 +259,14 @@ def averaged(parts: DataFrame, fan_in: int = 8) -> np.ndarray | None:
         return pa.table({"part": t.column("part")[:1], "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([int(n.sum())], pa.int64())})
 
     schema = "part long, weights binary, n long"
-    while True:
-        held = Written(parts, "weights")
-        if (rows := held.read().count()) <= fan_in:
-            break
+    held = Written(parts, "weights")
+    while (rows := held.read().count()) > fan_in:
         groups = -(-rows // fan_in)
-        parts = held.read().groupBy(F.pmod("part", F.lit(groups))).applyInArrow(merge, schema)
+        after = Written(held.read().groupBy(F.pmod("part", F.lit(groups))).applyInArrow(merge, schema), "weights")
+        held.drop()
+        held = after
     found = sorted(held.read().collect(), key=lambda r: r.part)
+    held.drop()
     total = sum(r.n for r in found)
     return sum(np.frombuffer(r.weights, np.float32) * (r.n / total) for r in found) if total else None
 
@@ -283,193 +288,222 @@ def common_tokens(train: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [bytes(r.t) for r in found], np.array([r.n for r in found], np.int64)
 
 
-def fit(train: DataFrame, common: list[bytes], sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """A start learned from a bounded sample; then weights averaged over tasks' training on all texts."""
-    rows = train.select("text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("r"))
-    chosen = rows.select("r").distinct().orderBy("r").limit(sample_docs)
-    sample = Written(rows.join(F.broadcast(chosen), "r"), "sample").read()
+class Places(dict):
+    """Token to its place: common tokens first, then the others of a block as they come."""
 
-    def make_ids():
-        ids = Ids(common)
-        return lambda rs, texts: [rs, [ids.of(tokens(t)).tobytes() for t in texts]]
+    def __missing__(self, t: bytes) -> int:
+        self[t] = i = len(self)
+        return i
 
-    docs = [np.frombuffer(r.x, np.int32) for r in sorted(map_batches(sample.select("r", "text"), make_ids, "r long, x binary").collect(), key=lambda r: (r.r, r.x))]
-    p = init()
-    rng = np.random.default_rng(1)
-    for epoch in range(EPOCHS):
-        opt = gru.Adam(p, 0.01 / (1 + 2 * epoch))
-        run(p, [docs[i] for i in rng.permutation(len(docs))], opt, 64)
 
-    def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids = {k: v.copy() for k, v in p.items()}, Ids(common)
-        opt, held, n, part = gru.Adam(own, 0.002), [], 0, None
-        for b in batches:
-            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.append(ids.of(tokens(t)))
-                part = r if part is None else part
-            if sum(map(len, held)) > RUN_TOKENS // 8:
-                run(own, held, opt, 64)
-                n, held = n + sum(map(len, held)), []
-        if held:
-            run(own, held, opt, 64)
-            n += sum(map(len, held))
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pack(own).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "weights", "n"])
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones first: those of sorted or small numbers compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
-    small_batches(train.sparkSession)
-    mean = averaged(rows.select("r", "text").mapInArrow(tune, "part long, weights binary, n long"))
-    return p if mean is None else unpack(mean, p)
 
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
-def key_of(doc_id: int | None, text: str | None) -> int:
-    """A row's key: the same for rows that repeat id and text."""
-    return xxhash.xxh3_64_intdigest(f"{doc_id}\x00{text or ''}".encode("utf-8", "replace")) - (1 << 63)
 
+ENCODED = "block long, i int, range int, entries binary, doc_id long, held_out boolean, n_tokens long, known long, base double, tail double, ids binary, rare binary"
 
-ENTRY = np.dtype([("hash", "<u8"), ("key", "<i8"), ("n", "<i4"), ("look", "u1")])
 
+def encoded(rows: DataFrame, common: list[bytes], counts: np.ndarray, n_ranges: int) -> DataFrame:
+    """Two kinds of rows: of each document (block, i, doc_id, held_out, n_tokens, sums over common tokens, ids, rare), of each block and hash range (block, range, entries).
 
-def count_pass(rows: DataFrame, common: list[bytes], n_ranges: int) -> DataFrame:
-    """Rows (range, entries): packed counts of the tokens outside the common ones, by document."""
+    ids: network inputs; rare: places of its tokens outside the common ones among the block's sorted hashes;
+    entries: of these hashes the ones of a range, each with its count in training texts and its look.
+    """
+    heads = np.array([HEAD + look(t) if i >= HEAD else i for i, t in enumerate(common)], np.int16)
+    arrow = [("block", pa.int64()), ("i", pa.int32()), ("range", pa.int32()), ("entries", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("tail", pa.float64()), ("ids", pa.binary()), ("rare", pa.binary())]
 
     def run_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, looks = set(common), {}
-        held: list[tuple] = []
+        n_common, places = len(common), Places(zip(common, range(len(common))))
+        logs, looks = np.log10(counts + 1), {}
+        meta: list[tuple] = []
+        docs: list[np.ndarray] = []
+        first = TaskContext.get().partitionId() << 32
+        block = size = 0
+
+        def look_of(t: bytes) -> int:
+            k = looks.get(t)
+            if k is None:
+                k = look(t)
+                if len(looks) < CACHE:
+                    looks[t] = k
+            return k
 
         def flush() -> pa.RecordBatch:
-            e = np.fromiter(held, ENTRY, len(held))
-            held.clear()
-            r = (e["hash"] >> np.uint64(32)).astype(np.int64) * n_ranges >> 32
-            e, r = e[order := np.argsort(r, kind="stable")], r[order]
-            first = np.flatnonzero(np.diff(r, prepend=-1))
-            blobs = [x.tobytes() for x in np.split(e, first[1:])] if len(e) else []
-            return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int32()), pa.array(blobs, pa.binary())], names=["range", "entries"])
+            rare = list(places)[n_common:]
+            for t in rare:
+                del places[t]
+            kinds = np.array([look_of(t) for t in rare], np.uint8)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, rare), np.uint64, len(rare))
+            hashes, place = np.unique(hashes, return_inverse=True)
+            kind = np.zeros(len(hashes), np.uint8)
+            kind[place] = kinds
+            ids_of = np.concatenate((heads, kinds.astype(np.int16) + np.int16(HEAD)))
+            x, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+            at = np.cumsum(sizes) - sizes  # every document has a token, its end
+            is_rare = x >= n_common
+            c = np.append(logs, 0.0)[np.minimum(x, n_common)]
+            base, known = np.add.reduceat(c, at), np.add.reduceat((~is_rare).astype(np.int64), at)
+            c[x < HEAD] = 0
+            tail = np.add.reduceat(c, at)
+            rare_at = place[x[is_rare] - n_common].astype(np.uint32)
+            train = np.repeat(np.array([not m[1] for m in meta]), sizes)[is_rare]
+            n = np.bincount(rare_at[train], minlength=len(hashes)).astype(np.uint32)
+            ends = np.cumsum(np.add.reduceat(is_rare.astype(np.int64), at))
+            ids = ids_of[x]
+            r = (hashes >> np.uint64(32)).astype(np.int64) * n_ranges >> 32
+            cuts = np.flatnonzero(np.diff(r, prepend=-1))
+            blobs = [zstandard.compress(planes(hashes[a:b]) + planes(n[a:b]) + kind[a:b].tobytes(), 1) for a, b in zip(cuts, [*cuts[1:], len(r)])]
+            k, m = len(docs), len(blobs)
+            out = {
+                "block": [first + block] * (k + m), "i": [*range(k), *[None] * m], "range": [*[None] * k, *r[cuts].tolist()], "entries": [*[None] * k, *blobs],
+                "doc_id": [*[x[0] for x in meta], *[None] * m], "held_out": [*[x[1] for x in meta], *[None] * m], "n_tokens": [*sizes.tolist(), *[None] * m],
+                "known": [*known.tolist(), *[None] * m], "base": [*base.tolist(), *[None] * m], "tail": [*tail.tolist(), *[None] * m],
+                "ids": [*[ids[a : a + n].tobytes() for a, n in zip(at, sizes)], *[None] * m], "rare": [*[rare_at[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)], *[None] * m],
+            }
+            docs.clear()
+            meta.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in arrow], names=[c for c, _ in arrow])
 
         for b in batches:
             for doc_id, held_out, text in zip(*(c.to_pylist() for c in b.columns)):
-                words, key, sign = tokens(text), key_of(doc_id, text), -1 if held_out else 1
-                for w, n in Counter(w for w in words if w not in known).items():
-                    k = looks.get(w)
-                    if k is None:
-                        k = look(w)
-                        if len(looks) < CACHE:
-                            looks[w] = k
-                    held.append((xxhash.xxh3_64_intdigest(w), key, sign * n, k))
-            if len(held) > RUN_TOKENS // 4:
-                yield flush()
-        yield flush()
-
-    return rows.mapInArrow(run_pass, "range int, entries binary")
-
-
-SUM = np.dtype([("key", "<i8"), ("s", "<f8"), ("known", "<i8")])
-SUMS = "range int, sums binary, look int, n long, v long"
-
-
-def range_sums(n_ranges: int) -> Callable[[pa.Table], pa.Table]:
-    """A range's tokens counted in training documents, then summed: sums of documents packed by range of their key, and rows (look, N, V)."""
-
-    def reduce(t: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for c in t.column("entries").chunks for x in c])
-        _, first, token = np.unique(e["hash"], return_index=True, return_inverse=True)
-        train, n = e["n"] > 0, np.abs(e["n"]).astype(np.int64)
-        c = np.bincount(token[train], n[train], len(first))
-        keys, doc = np.unique(e["key"], return_inverse=True)
-        x = np.zeros(len(keys), SUM)
-        x["key"], x["s"] = keys, np.bincount(doc, n * np.log10(c + 1)[token], len(keys))
-        x["known"] = np.bincount(doc, n * (c > 0)[token], len(keys)).astype(np.int64)
-        r = (((keys >> 32) + (1 << 31)) * n_ranges) >> 32  # rises with the key
-        at = np.flatnonzero(np.diff(r, prepend=-1))
-        blobs = [y.tobytes() for y in np.split(x, at[1:])] if len(x) else []
-        looks = e["look"][first]
-        big_n, big_v = np.bincount(looks, c, N_LOOKS).astype(np.int64), np.bincount(looks, c > 0, N_LOOKS).astype(np.int64)
-        k, m = len(at), N_LOOKS
-        return pa.table({
-            "range": pa.array([*r[at].tolist(), *[None] * m], pa.int32()), "sums": pa.array([*blobs, *[None] * m], pa.binary()),
-            "look": pa.array([*[None] * k, *range(m)], pa.int32()), "n": pa.array([*[0] * k, *big_n.tolist()], pa.int64()), "v": pa.array([*[0] * k, *big_v.tolist()], pa.int64()),
-        })
+                words = tokens(text)
+                docs.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
+                meta.append((doc_id, held_out))
+                size += len(words)
+                if size >= BLOCK_TOKENS:
+                    yield flush()
+                    block, size = block + 1, 0
+        if docs:
+            yield flush()
 
-    return reduce
+    return rows.mapInArrow(run_pass, ENCODED)
 
 
-def document_sums(t: pa.Table) -> pa.Table:
-    """The sums of a range of documents, a row for each."""
-    x = np.concatenate([np.frombuffer(b.as_buffer(), SUM) for c in t.column("sums").chunks for b in c])
-    keys, doc = np.unique(x["key"], return_inverse=True)
-    known = np.bincount(doc, x["known"], len(keys)).astype(np.int64)
-    return pa.table({"key": pa.array(keys, pa.int64()), "s": pa.array(np.bincount(doc, x["s"], len(keys)), pa.float64()), "known": pa.array(known, pa.int64())})
+def training_texts(held: DataFrame) -> DataFrame:
+    """h and ids of the training documents in an encoded table; h: the hash of a document."""
+    return held.filter("i is not null and not held_out").select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ids").alias("h"), "ids", "n_tokens")
 
 
-def score_pass(rows: DataFrame, common: list[bytes], p: dict[str, np.ndarray], counts: np.ndarray, looks: np.ndarray) -> DataFrame:
-    """key, doc_id, held_out, n_tokens, and what common tokens and the network add to known, base and score. looks: log10 of each look's N + V + 1."""
+def trained(held: DataFrame, sample_docs: int) -> dict[str, np.ndarray]:
+    """A start learned from a bounded sample; then weights averaged over the shards' training on all texts."""
+    train = training_texts(held)
+    chosen = train.select("h").distinct().orderBy("h").limit(sample_docs)
+    sample = train.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("ids").alias("ids")).collect()
+    docs = [np.frombuffer(r.ids, np.int16) for r in sorted(sample, key=lambda r: r.h)]
+    p = init()
+    rng = np.random.default_rng(1)
+    for epoch in range(EPOCHS):
+        opt = gru.Adam(p, 0.01 / (1 + 2 * epoch))
+        run(p, [docs[i] for i in rng.permutation(len(docs))], opt, 64)
 
-    def run_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids = {t: i for i, t in enumerate(common)}, Ids(common)
-        logs = np.append(np.log10(counts + 1), 0.0)
-        seen = np.append(counts > 0, False)
-        docs: list[np.ndarray] = []
-        meta: list[tuple] = []
+    def tune(t: pa.Table) -> pa.Table:
+        own, t = {k: v.copy() for k, v in p.items()}, t.sort_by([("h", "ascending"), ("ids", "ascending")])
+        opt, part, size, n = gru.Adam(own, 0.002), [], 0, 0
+        for x in t.column("ids"):
+            part.append(np.frombuffer(x.as_buffer(), np.int16))
+            size += len(part[-1])
+            if size > BLOCK_TOKENS:
+                run(own, part, opt)
+                part, n, size = [], n + size, 0
+        run(own, part, opt)
+        return pa.table({"part": t.column("shard")[:1].cast(pa.int64()), "weights": pa.array([pack(own).tobytes()], pa.binary()), "n": pa.array([n + size], pa.int64())})
+
+    total = train.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    shards = max(1, min(SHARDS, total // LEAST_SHARD), total // MOST_SHARD)
+    parts = train.select("h", "ids", F.pmod("h", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(tune, "part long, weights binary, n long")
+    mean = averaged(parts)
+    return p if mean is None else unpack(mean, p)
 
-        def flush() -> pa.RecordBatch:
-            lp = run(p, docs) / np.log(10)
-            cols = list(zip(*meta))
-            out = [*cols[:6], [x + y for x, y in zip(cols[6], lp.tolist())]]
-            docs.clear()
-            meta.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "model"])
 
-        size = 0
-        for b in batches:
-            for doc_id, held_out, text in zip(*(c.to_pylist() for c in b.columns)):
-                words = tokens(text)
-                x = ids.of(words)
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                tail = x >= HEAD
-                model = logs[at[tail]].sum() - looks[x[tail] - HEAD].sum()
-                docs.append(x)
-                meta.append((key_of(doc_id, text), doc_id, held_out, len(words), int(seen[at].sum()), float(logs[at].sum()), float(model)))
-                size += len(words)
-            if size > RUN_TOKENS:
-                yield flush()
-                size = 0
-        if docs:
-            yield flush()
+def fit(train: DataFrame, common: list[bytes], sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
+    """The network learned from training texts (doc_id, text)."""
+    small_batches(train.sparkSession)
+    held = Written(encoded(train.select(F.col("doc_id").cast("long"), F.lit(False), "text"), common, np.zeros(len(common)), 16), "encoded")
+    p = trained(held.read(), sample_docs)
+    held.drop()
+    return p
+
+
+ANSWERS = "block long, range int, counts binary, look int, n long, v long"
+
+
+def answers(t: pa.Table) -> pa.Table:
+    """A range's hashes counted over all blocks: for each block the counts of its own, and rows (look, N, V)."""
+    raw = [zstandard.decompress(x) for x in t.column("entries").to_pylist()]
+    sizes = np.array([len(x) // 13 for x in raw])
+    hashes = np.concatenate([from_planes(x[: 8 * n], "<u8") for x, n in zip(raw, sizes)])
+    n = np.concatenate([from_planes(x[8 * n : 12 * n], "<u4") for x, n in zip(raw, sizes)])
+    looks = np.concatenate([np.frombuffer(x, np.uint8, n, 12 * n) for x, n in zip(raw, sizes)])
+    _, first, token = np.unique(hashes, return_index=True, return_inverse=True)
+    c = np.bincount(token, n, len(first)).astype(np.int64)
+    parts = [zstandard.compress(planes(x.astype("<u8")), 1) for x in np.split(c[token], np.cumsum(sizes)[:-1])]
+    kind = looks[first]
+    big_n, big_v = np.bincount(kind, c, N_LOOKS).astype(np.int64), np.bincount(kind, c > 0, N_LOOKS).astype(np.int64)
+    k, m = t.num_rows, N_LOOKS
+    return pa.table({
+        "block": pa.array([*t.column("block").to_pylist(), *[None] * m], pa.int64()), "range": pa.array([*t.column("range").to_pylist(), *[None] * m], pa.int32()), "counts": pa.array([*parts, *[None] * m], pa.binary()),
+        "look": pa.array([*[None] * k, *range(m)], pa.int32()), "n": pa.array([*[0] * k, *big_n.tolist()], pa.int64()), "v": pa.array([*[0] * k, *big_v.tolist()], pa.int64()),
+    })
+
+
+def block_scores(p: dict[str, np.ndarray], looks: np.ndarray, total_n: int, total_v: int) -> Callable[[pa.Table], pa.Table]:
+    """Scores a block: its documents (rows with i) and the counts of its rare tokens. looks: log10 of each look's N + V + 1."""
+    norm = float(np.log10(total_n + total_v + 1))
+
+    def score(t: pa.Table) -> pa.Table:
+        some = pa.compute.is_valid(t.column("i"))
+        docs, found = t.filter(some), t.filter(pa.compute.invert(some)).sort_by("range")
+        c = np.concatenate([np.zeros(0, np.uint64), *[from_planes(zstandard.decompress(x), "<u8") for x in found.column("counts").to_pylist()]])
+        logs, seen = np.log10(c + 1.0), (c > 0).astype(np.int64)
+        # Copies in a block are run once.
+        copies: dict[bytes, int] = {}
+        copy_of = [copies.setdefault(x, len(copies)) for x in docs.column("ids").to_pylist()]
+        texts = [np.frombuffer(x, np.int16) for x in copies]
+        model = np.round(run(p, texts) / np.log(10), 3)[copy_of]  # sums in another block differ in the sixth digit
+        ids = [texts[k] for k in copy_of]
+        by_look = np.concatenate((np.zeros(HEAD), looks))
+        s, k = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for d, (x, y) in enumerate(zip(ids, docs.column("rare"))):
+            model[d] -= by_look[x].sum()
+            at = np.frombuffer(y.as_buffer(), np.uint32)
+            if len(at):
+                s[d], k[d] = logs[at].sum(), seen[at].sum()
+        n = docs.column("n_tokens").to_numpy()
+        return pa.table({
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": docs.column("n_tokens"), "n_known": pa.array(docs.column("known").to_numpy() + k),
+            "train_tokens": pa.array(np.full(len(ids), total_n, np.int64)), "base_score": pa.array(docs.column("base").to_numpy() + s - n * norm), "score": pa.array(docs.column("tail").to_numpy() + s + model),
+        })
 
-    return rows.mapInArrow(run_pass, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
+    return score
 
 
 def lm_scores(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    train = rows.filter("not held_out")
-    common, counts = common_tokens(train)
-    p = fit(train, common, sample_docs)
+    common, counts = common_tokens(rows.filter("not held_out"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_ranges = max(16, chars // RANGE_CHARS)
-    counted = Written(count_pass(rows, common, n_ranges), "counts")
-    sums = Written(counted.read().groupBy("range").applyInArrow(range_sums(n_ranges), SUMS), "sums")
-    counted.drop()
+    held = Written(encoded(rows, common, counts, max(16, chars // RANGE_CHARS)), "encoded").read()
+    p = trained(held, sample_docs)
+    entries = held.filter("entries is not null").select("block", "range", "entries")
+    found = Written(entries.groupBy("range").applyInArrow(answers, ANSWERS), "answers").read()
     big_n, big_v = np.zeros(N_LOOKS), np.zeros(N_LOOKS)
-    for r in sums.read().filter("look is not null").groupBy("look").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+    for r in found.filter("look is not null").groupBy("look").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         big_n[r.look], big_v[r.look] = r.n, r.v
-    total_n, total_v = int(counts.sum() + big_n.sum()), int((counts > 0).sum() + big_v.sum())
+    total_n, total_v = int(counts.sum() + big_n.sum()), int(len(counts) + big_v.sum())
     for t, c in zip(common[HEAD:], counts[HEAD:]):
         big_n[look(t)] += c
-        big_v[look(t)] += c > 0
-    scored = score_pass(rows, common, p, counts, np.log10(big_n + big_v + 1))
-    zero = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("model", "double"))]
-    parts = scored.select("key", "doc_id", "held_out", "n_tokens", "model", "known", "base", F.lit(1).alias("m"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("k"))
-    rare = sums.read().filter("range is not null").select("range", "sums").groupBy("range").applyInArrow(document_sums, "key long, s double, known long")
-    rare = rare.select("key", *zero, F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0).alias("m"), "s", F.col("known").alias("k"))
-    # Rows that repeat id and text share a key: what was summed for all of them is divided again.
-    one = parts.union(rare).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("model").alias("model"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("k").alias("k"))
-    out = one.filter("m > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    rest = F.col("s") / F.col("m")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + (F.col("k") / F.col("m")).cast("long")).alias("n_known"), F.lit(total_n).cast("long").alias("train_tokens"),
-        (F.col("base") + rest - F.col("n_tokens") * F.lit(float(np.log10(total_n + total_v + 1)))).alias("base_score"), (F.col("model") + rest).alias("score"),
-    )
+        big_v[look(t)] += 1
+    columns = ["block", "i", "range", "doc_id", "held_out", "n_tokens", "known", "base", "tail", "ids", "rare"]
+    both = held.filter("i is not null").select(*columns).unionByName(found.filter("counts is not null").select("block", "range", "counts"), allowMissingColumns=True)
+    score = block_scores(p, np.log10(big_n + big_v + 1), total_n, total_v)
+    return both.groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
