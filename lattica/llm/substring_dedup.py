@@ -1,27 +1,34 @@
 """Exact substring dedup by prefix-free parsing of the texts' bytes.
 
-A rolling hash over 8 bytes sets triggers that cut each text into phrases, at the same places wherever
-the same bytes stand. A 400-byte window is named by the suffix of its first phrase (the bytes before
-its first trigger) and by the parse that follows it. As only equality at a depth of 400 bytes matters,
-the corpus order of these suffixes is replaced by their classes: windows are compared phrase by phrase
-instead of byte by byte, in three rounds that narrow down.
+A hash rolled over 16 bytes sets triggers that cut each text into phrases, at the same places wherever
+the same bytes stand. A 400-byte window begins with a suffix of a phrase, the bytes up to its first
+trigger, and goes on with the parse, the phrases from that trigger on. Corpus order, the order of all
+windows by their bytes, comes from two suffix arrays: that of the dictionary (all suffixes of the
+distinct phrases) and that of the parse (its suffixes by what follows a trigger); windows are ordered by
+the rank of their phrase suffix, then by the rank of the parse that follows. A window repeats if its
+longest common prefix with a neighbour in that order, read off the parse's LCP array by range minima, has
+400 bytes.
+
+Only equality at a depth of 400 bytes matters, so the order is made in shards that no pair of equal
+windows straddles, and only of what can repeat:
 
 1. A unit is the run of windows that share a first trigger (and a range of distances to it). The bytes
-   behind the trigger that all its windows hold are hashed; only units whose hash occurs twice go on.
-2. Of those, all bytes that the unit's windows cover are hashed (128 bits). Units of the same class are
-   repeats as a whole. Where a hash of round 1 has several classes, one unit of each goes on.
-3. These units' windows are hashed one by one (128 bits); the repeated ones are repeats.
+   that all of them hold, its context, are hashed; only units whose hash occurs twice go on.
+2. The units of a range of contexts meet as a shard: context as a 128-bit hash, the bytes before it (the
+   phrase's end) and those behind it. Units that are the same as a whole repeat as a whole; of the others
+   one each goes into the shard's dictionary and parse, whose suffix arrays give the repeated windows.
 
-Windows without a trigger (long runs of low variety) are units of their own.
+Windows without a trigger (long runs of low variety) are phrases longer than a window: units of their own,
+compared as a whole.
 
-Scale: what is shuffled is packed, (hash, text, place) in blocks by hash range, about one entry for 40
-bytes in round 1, and only repeated parts after it. Hashes that repeat within a task are settled there
-and sent on once, so that a passage in a third of all texts sends one entry a task. No task holds more
-than its blocks, and no pairs are formed. Texts are joined with their own places by a key of 64 bits.
+Scale: what is shuffled is packed, about one entry for 40 bytes in step 1, and only parts that can repeat
+after it. Entries that are alike within a task are settled there and one is sent on for them, so that a
+passage in a third of all texts sends one entry a task. No task holds more than its blocks or its shard,
+and no pairs are formed. Texts are joined with their own places by keys of 128 bits.
 
 Defined results: a null text is an empty one; texts below 400 bytes lose nothing; rows that repeat a
 text are copies of each other, whatever their doc_id; an empty table gives an empty result; extra
-columns are ignored. Equality of windows is that of 128-bit hashes.
+columns are ignored. Equality of contexts and of whole units is that of 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,38 +46,43 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Written, small_batches, table
 
 LENGTH = 400
-TRIGGER = 8
+TRIGGER = 16
 PHRASE = 48
 RANGE_CHARS = 10_000_000
 FLUSH = 400_000
-#: Ranges of the distance of a window's start to its first trigger; a round-1 hash covers what all windows of the range hold.
+#: Ranges of the distance of a window's start to its first trigger; a unit's context is what all windows of the range hold.
 DISTANCES = ((0, 63), (64, 127), (128, 199), (200, LENGTH - TRIGGER))
 BEFORE = 200
 LONE = len(DISTANCES)
 
-UNIT = np.dtype([("hash", "<u8"), ("key", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("how", "u1")])
-CLASSED = np.dtype([("hash", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("key", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("how", "u1")])
-WINDOW = np.dtype([("hash", "<u8"), ("c1", "<u8"), ("key", "<i8"), ("lo", "<i4"), ("mark", "u1"), ("how", "u1")])
-KEYED = np.dtype([("key", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("mark", "u1")])
-PLACE = np.dtype([("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1"), ("mark", "u1")])
+KEY = [("k1", "<i8"), ("k2", "<i8")]
+SPOT = [("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1")]
+UNIT = np.dtype([("hash", "<u8"), *KEY, *SPOT, ("how", "u1")])
+CLASSED = np.dtype([("hash", "<u8"), ("more", "<u8"), ("c1", "<u8"), ("c2", "<u8"), *KEY, *SPOT, ("how", "u1")])
+KEYED = np.dtype([*KEY, *SPOT])
+PLACE = np.dtype(SPOT)
 #: how: an entry to be compared; one that stands for several of its task, itself settled; one that is settled.
 PLAIN, SEVERAL, SETTLED = 0, 1, 2
 
 
 def triggers(data: bytes) -> np.ndarray:
-    """Places whose 8 bytes hash below the limit that makes phrases of PHRASE bytes on average."""
-    n = len(data) - TRIGGER + 1
-    if n <= 0:
+    """Places whose 16 bytes are a trigger: the last 8 hash below the limit that makes phrases of PHRASE bytes on average, and aren't a repeat at a distance of 8 or less (runs)."""
+    n = len(data) - 7
+    if n <= 8:
         return np.zeros(0, np.int64)
-    v = np.empty(n, np.uint64)
-    for k in range(min(TRIGGER, n)):
-        m = (len(data) - k) // TRIGGER
-        v[k::TRIGGER] = np.frombuffer(data, "<u8", m, k)
-    v ^= v >> np.uint64(29)
+    word = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        m = (len(data) - k) // 8
+        word[k::8] = np.frombuffer(data, "<u8", m, k)
+    v = word ^ (word >> np.uint64(29))
     v *= np.uint64(0x9E3779B97F4A7C15)
     v ^= v >> np.uint64(32)
     v *= np.uint64(0xD6E8FEB86659FD93)
-    return np.flatnonzero(v < np.uint64((1 << 64) // PHRASE))
+    t = np.flatnonzero(v < np.uint64((1 << 64) // PHRASE))
+    t = t[t >= 8]
+    for d in range(1, 9):
+        t = t[word[t] != word[t - d]]
+    return t - 8
 
 
 def units(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -103,8 +115,8 @@ def units(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return x[np.argsort(x[:, 1], kind="stable")]
 
 
-def common_bytes(a: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the bytes of a unit's round-1 hash begin and end."""
+def context_of(a: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a unit's context begins and ends."""
     begin = a - np.where(kind == LONE - 1, BEFORE, 0)
     size = np.array([LENGTH - DISTANCES[0][1], LENGTH - DISTANCES[1][1], LENGTH - DISTANCES[2][1], TRIGGER, LENGTH])
     return begin, a + size[kind]
@@ -120,203 +132,290 @@ def hash128(view: memoryview, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([h(view[a:b]) for a, b in zip(begin.tolist(), end.tolist())]), "<u8").reshape(-1, 2)
 
 
-def settle(e: np.ndarray, fields: list[str]) -> np.ndarray:
-    """Of a task's entries, those that are alike are settled and one more is sent to stand for them."""
-    _, first, same, count = np.unique(e[fields], return_index=True, return_inverse=True, return_counts=True)
-    e = e.copy()
-    e["how"] = np.where(count[same] > 1, SETTLED, PLAIN)
-    more = e[first[count > 1]]
-    more["how"] = SEVERAL
-    return np.concatenate((e, more))
-
-
-def squeeze(e: np.ndarray) -> bytes:
-    """Entries field by field, places as distances, compressed."""
+def alike(*fields: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of each group of equal rows, each row's group, and the groups' sizes."""
+    order = np.lexsort(fields)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for f in fields:
+        x = f[order]
+        new[1:] |= x[1:] != x[:-1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group, np.bincount(group) if len(order) else np.zeros(0, np.int64)
+
+
+def settle(e: np.ndarray, fields: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a task's entries, those that are alike are settled and one more is sent to stand for them; with the place each came from."""
+    first, same, count = alike(*(e[f] for f in fields))
+    more = first[count > 1]
+    at = np.concatenate((np.arange(len(e)), more))
+    out = e[at]
+    out["how"][: len(e)] = np.where(count[same] > 1, SETTLED, PLAIN)
+    out["how"][len(e) :] = SEVERAL
+    return out, at
+
+
+def squeeze(e: np.ndarray, strings: list[bytes]) -> bytes:
+    """Entries field by field, places as distances, and their strings, compressed."""
     x = {f: e[f] for f in e.dtype.names}
-    for f in ("lo", "hi"):
-        if f in x and "a" in x:
-            x[f] = x["a"] - x[f]
-    return zstandard.compress(b"".join(np.ascontiguousarray(x[f]).tobytes() for f in e.dtype.names), 1)
+    x["lo"], x["hi"], x["a"] = x["a"] - x["lo"], x["a"] - x["hi"], np.diff(x["a"], prepend=np.int32(0))
+    return len(e).to_bytes(4, "little") + zstandard.compress(b"".join([*(np.ascontiguousarray(x[f]).tobytes() for f in e.dtype.names), *strings]), 1)
 
 
-def loosen(b: bytes, kind: np.dtype) -> np.ndarray:
-    raw = zstandard.decompress(b)
-    out, at = np.empty(len(raw) // kind.itemsize, kind), 0
+def loosen(b: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.decompress(b[4:])
+    out, at = np.empty(int.from_bytes(b[:4], "little"), kind), 0
     for f in kind.names:
         size = len(out) * kind[f].itemsize
         out[f] = np.frombuffer(raw[at : at + size], kind[f])
         at += size
-    for f in ("lo", "hi"):
-        if f in kind.names and "a" in kind.names:
-            out[f] = out["a"] - out[f]
-    return out
+    out["a"] = np.cumsum(out["a"], dtype=np.int32)
+    out["lo"], out["hi"] = out["a"] - out["lo"], out["a"] - out["hi"]
+    return out, raw[at:]
 
 
-def split_by_range(e: np.ndarray, h: np.ndarray, n_ranges: int) -> tuple[np.ndarray, list[bytes]]:
+def split_by_range(e: np.ndarray, h: np.ndarray, n_ranges: int, strings: list[bytes] | None = None) -> tuple[np.ndarray, list[bytes]]:
     """The ranges of the 64-bit values h, and each one's entries packed."""
     r = ((h >> np.uint64(32)).astype(np.int64) * n_ranges) >> 32
     order = np.argsort(r, kind="stable")
     e, r = e[order], r[order]
     first = np.flatnonzero(np.diff(r, prepend=-1))
-    return r[first], [squeeze(x) for x in np.split(e, first[1:])] if len(e) else []
-
+    held = [strings[i] for i in order.tolist()] if strings else []
+    return r[first], [squeeze(e[a:b], held[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)])]
 
-def mixed_key(key: np.ndarray) -> np.ndarray:
-    return key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-
-def blocks_of(e: np.ndarray, n_ranges: int) -> pa.RecordBatch:
-    """Packed by range of the hash, settled entries by range of the key."""
-    r, parts = split_by_range(e, np.where(e["how"] == SETTLED, mixed_key(np.ascontiguousarray(e["key"])), e["hash"]), n_ranges)
+def blocks_of(e: np.ndarray, strings: list[bytes], fields: list[str], n_ranges: int) -> pa.RecordBatch:
+    """Packed by range of the hash, settled entries (without strings) by range of the key."""
+    e, at = settle(e, fields)
+    settled = e["how"] == SETTLED
+    held = [b"" if k else strings[i] for i, k in zip(at.tolist(), settled.tolist())] if strings else None
+    r, parts = split_by_range(e, np.where(settled, e["k1"].view(np.uint64), e["hash"]), n_ranges, held)
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(parts, pa.binary())], names=["range", "entries"])
 
 
-def packed_pass(df: DataFrame, entries: Callable[[list, list, list], np.ndarray], fields: list[str], n_ranges: int) -> DataFrame:
-    """Runs ``entries(keys, texts, places)`` over batches and packs what it returns by range."""
+def packed_pass(df: DataFrame, entries: Callable[..., tuple[np.ndarray, list[bytes]]], fields: list[str], n_ranges: int) -> DataFrame:
+    """Runs ``entries(k1, k2, texts, places)`` over batches and packs the entries and strings it returns by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, strings, n = [], [], 0
         for b in batches:
-            e = entries(*(c.to_pylist() for c in b.columns))
+            e, more = entries(*(c.to_pylist() for c in b.columns))
             held.append(e)
+            strings += more
             n += len(e)
             if n > FLUSH:
-                yield blocks_of(settle(np.concatenate(held), fields), n_ranges)
-                held, n = [], 0
+                yield blocks_of(np.concatenate(held), strings, fields, n_ranges)
+                held, strings, n = [], [], 0
         if n:
-            yield blocks_of(settle(np.concatenate(held), fields), n_ranges)
+            yield blocks_of(np.concatenate(held), strings, fields, n_ranges)
 
     return df.mapInArrow(run, "range int, entries binary")
 
 
-def unpack(t: pa.Table, kind: np.dtype) -> np.ndarray:
-    return np.concatenate([loosen(x.as_py(), kind) for c in t.column("entries").chunks for x in c])
+def unpack(t: pa.Table, kind: np.dtype) -> tuple[np.ndarray, bytes]:
+    parts = [loosen(x, kind) for x in t.column("entries").to_pylist()]
+    return np.concatenate([e for e, _ in parts]), b"".join(x for _, x in parts)
 
 
-def by_key(e: np.ndarray, goal: np.ndarray, mark: np.ndarray, n_ranges: int) -> pa.Table:
-    """Rows (range, goal, entries): the places of texts, packed by range of the key."""
-    out = np.zeros(len(e), KEYED)
-    for f in ("key", "a", "lo", "hi", "kind"):
-        if f in e.dtype.names:
-            out[f] = e[f]
-    if "hi" not in e.dtype.names:
-        out["a"] = out["hi"] = e["lo"]
-    out["mark"] = mark
-    ranges, goals, parts = [], [], []
-    for g in (REPEAT, COMPARE):
-        x = out[goal == g]
-        r, p = split_by_range(x, mixed_key(np.ascontiguousarray(x["key"])), n_ranges)
-        ranges += r.tolist()
-        goals += [g] * len(r)
-        parts += p
-    return pa.table({"range": pa.array(ranges, pa.int32()), "goal": pa.array(goals, pa.int32()), "entries": pa.array(parts, pa.binary())})
+def by_key(e: np.ndarray, n_ranges: int) -> pa.Table:
+    """Rows (range, entries): the places of texts, packed by range of the key."""
+    out = np.empty(len(e), KEYED)
+    for f in KEYED.names:
+        out[f] = e[f]
+    r, parts = split_by_range(out, np.ascontiguousarray(out["k1"]).view(np.uint64), n_ranges)
+    return pa.table({"range": pa.array(r, pa.int32()), "entries": pa.array(parts, pa.binary())})
 
 
 def gather(t: pa.Table) -> pa.Table:
-    """A row (key, places) for each text of a range of keys."""
-    e = np.unique(unpack(t, KEYED))
-    first = np.flatnonzero(np.diff(e["key"], prepend=0) != 0) if len(e) else np.zeros(0, np.int64)
-    if len(e) and (not len(first) or first[0] != 0):  # the first key may be 0
-        first = np.concatenate(([0], first))
+    """A row (k1, k2, places) for each text of a range of keys."""
+    e, _ = unpack(t, KEYED)
+    e = e[np.lexsort((e["hi"], e["lo"], e["kind"], e["a"], e["k2"], e["k1"]))]
+    new = np.ones(len(e), bool)
+    same = np.ones(max(len(e) - 1, 0), bool)
+    for f in KEYED.names:
+        same &= e[f][1:] == e[f][:-1]
+    new[1:] = ~same
+    e = e[new]  # rows that repeat id and text have the same places
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(e), 1), bool), (e["k1"][1:] != e["k1"][:-1]) | (e["k2"][1:] != e["k2"][:-1]))))
     places = np.empty(len(e), PLACE)
     for f in PLACE.names:
         places[f] = e[f]
     parts = [x.tobytes() for x in np.split(places, first[1:])] if len(e) else []
-    return pa.table({"key": pa.array(e["key"][first], pa.int64()), "places": pa.array(parts, pa.binary())})
+    return pa.table({"k1": pa.array(e["k1"][first], pa.int64()), "k2": pa.array(e["k2"][first], pa.int64()), "places": pa.array(parts, pa.binary())})
 
 
-REPEAT, COMPARE = 0, 1
-PLACES = "range int, goal int, entries binary"
+PLACES = "range int, entries binary"
 
 
 def repeated_units(t: pa.Table, n_ranges: int) -> pa.Table:
-    """Round 1: the units of a range whose hash occurs twice."""
-    e = unpack(t, UNIT)
+    """Step 1: the units of a range whose hash occurs twice."""
+    e, _ = unpack(t, UNIT)
     settled, e = e[e["how"] == SETTLED], e[e["how"] != SETTLED]
-    _, same = np.unique(e["hash"], return_inverse=True)
+    _, same, _ = alike(e["hash"])
     n = np.bincount(same, 1 + (e["how"] == SEVERAL))
-    e = np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)]))
-    return by_key(e, np.full(len(e), COMPARE), np.ones(len(e)), n_ranges)
+    return by_key(np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)])), n_ranges)
+
+
+def dictionary_ranks(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The suffix array of a dictionary as ranks: of the phrases laid end to end in text (ends: each place's phrase's end), the rank of every suffix; equal suffixes share one."""
+    n = len(text)
+    left = ends - np.arange(n)
+    word = np.zeros(n, np.uint64)
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    for k in range(8):
+        word |= np.where(left > k, padded[k : k + n], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
+    _, rank, _ = alike(np.minimum(left, 8), word)
+    depth = 8
+    while n and depth < left.max():
+        next_rank = np.where(left > depth, rank[np.minimum(np.arange(n) + depth, n - 1)] + 1, 0)
+        _, rank, _ = alike(next_rank, rank)
+        depth *= 2
+    return rank
+
+
+def parse_order(context: np.ndarray, tails: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the parse: its suffixes (a context, then the bytes of a row of tails) in order, and the common bytes of their tails with the one before (-1 where the contexts differ)."""
+    words = tails.view(">u8")
+    order = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), context))
+    a, b = tails[order[1:]], tails[order[:-1]]
+    differ = a != b
+    common = np.where(differ.any(1), differ.argmax(1), tails.shape[1])
+    common = np.minimum(common, np.minimum(sizes[order[1:]], sizes[order[:-1]]))
+    lcp = np.where(context[order[1:]] == context[order[:-1]], common, -1)
+    return order, np.concatenate((np.full(min(len(order), 1), -1), lcp))
+
+
+def range_minima(x: np.ndarray) -> list[np.ndarray]:
+    """Minima of all runs of 1, 2, 4... values."""
+    out, k = [x], 1
+    while 2 * k <= len(x):
+        out.append(np.minimum(out[-1][:-k], out[-1][k:]))
+        k *= 2
+    return out
 
 
-def repeated_classes(t: pa.Table, n_ranges: int) -> pa.Table:
-    """Round 2: units that repeat as a whole; and one unit of each class where a hash has several."""
-    e = unpack(t, CLASSED)
+def minimum(table: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value of each run a..b (b included)."""
+    level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
+    out = np.empty(len(a), np.int64)
+    for k in np.unique(level).tolist():
+        at = level == k
+        out[at] = np.minimum(table[k][a[at]], table[k][b[at] - (1 << k) + 1])
+    return out
+
+
+def repeated_windows(e: np.ndarray, strings: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of units that differ as a whole, the windows that repeat, as (unit, start), by corpus order.
+
+    strings, starts: each unit's bytes before its context and behind it, laid end to end.
+    """
+    a, kind = e["a"].astype(np.int64), e["kind"].astype(np.int64)
+    begin, end = context_of(a, kind)
+    lo, hi = e["lo"].astype(np.int64), e["hi"].astype(np.int64)
+    before, behind = begin - lo, hi + LENGTH - end
+    _, context, _ = alike(e["more"], e["hash"])
+    # The parse: what follows each unit's phrase.
+    wide = -(-max(int(behind.max()), 1) // 8) * 8
+    tails = np.zeros((len(e), wide), np.uint8)
+    row = np.repeat(np.arange(len(e)), behind)
+    col = np.arange(len(row)) - np.repeat(np.cumsum(behind) - behind, behind)
+    tails[row, col] = strings[np.repeat(starts + before, behind) + col]
+    order, lcp = parse_order(context, tails, behind)
+    rank = np.empty(len(e), np.int64)
+    rank[order] = np.arange(len(e))
+    # The dictionary: the distinct ends of phrases before a context.
+    heads = [strings[s : s + n].tobytes() for s, n in zip(starts.tolist(), before.tolist())]
+    phrases = {h: 0 for h in heads}
+    sizes = np.array([len(h) for h in phrases])
+    at = np.cumsum(sizes) - sizes
+    phrases = dict(zip(phrases, at.tolist()))
+    suffix = dictionary_ranks(np.frombuffer(b"".join(phrases), np.uint8), np.repeat(at + sizes, sizes))
+    # Windows in corpus order.
+    n = hi - lo + 1
+    unit = np.repeat(np.arange(len(e)), n)
+    start = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n - lo, n)
+    own = np.array([phrases[h] for h in heads])[unit]
+    empty = start >= begin[unit]  # windows that begin with their context
+    head = np.where(empty, -1, suffix[np.minimum(own + start - lo[unit], max(len(suffix) - 1, 0))] if len(suffix) else -1)
+    w = np.lexsort((rank[unit], head))
+    x, y = w[:-1], w[1:]
+    near = np.flatnonzero(head[x] == head[y])
+    x, y = x[near], y[near]
+    # What two windows with the same beginning share of the rest.
+    tail = minimum(range_minima(lcp), rank[unit[x]] + 1, rank[unit[y]])
+    equal = (tail >= start[x] + LENGTH - end[unit[x]]) & (start[x] - begin[unit[x]] == start[y] - begin[unit[y]])
+    found = np.zeros(len(unit), bool)
+    found[x[equal]] = found[y[equal]] = True
+    return unit[found], start[found]
+
+
+def repeated_places(t: pa.Table, n_ranges: int) -> pa.Table:
+    """Step 2: a shard's repeated windows, as places of their texts."""
+    e, raw = unpack(t, CLASSED)
     settled, e = e[e["how"] == SETTLED], e[e["how"] != SETTLED]
-    _, first, same = np.unique(e[["hash", "c1", "c2"]], return_index=True, return_inverse=True)
+    begin, end = context_of(e["a"].astype(np.int64), e["kind"].astype(np.int64))
+    size = begin - e["lo"] + e["hi"] + LENGTH - end
+    first, same, _ = alike(e["c2"], e["c1"], e["more"], e["hash"])
     n = np.bincount(same, 1 + (e["how"] == SEVERAL), len(first))
-    whole = np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)]))
-    one = e[first]
-    _, group, classes = np.unique(one["hash"], return_inverse=True, return_counts=True)
-    k = classes[group] > 1 if len(one) else np.zeros(0, bool)
-    more = one[k]
-    goal = np.concatenate((np.full(len(whole), REPEAT), np.full(len(more), COMPARE)))
-    return by_key(np.concatenate((whole, more)), goal, np.concatenate((np.ones(len(whole)), n[k] < 2)), n_ranges)
-
-
-def repeated_windows(t: pa.Table, n_ranges: int) -> pa.Table:
-    """Round 3: the windows to be marked whose hash occurs twice."""
-    e = unpack(t, WINDOW)
-    settled, e = e[e["how"] == SETTLED], e[e["how"] != SETTLED]
-    _, same = np.unique(e[["hash", "c1"]], return_inverse=True)
-    n = np.bincount(same, 1 + (e["how"] == SEVERAL))
-    e = np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)]))
-    e = e[e["mark"] > 0]
-    return by_key(e, np.full(len(e), REPEAT), np.ones(len(e)), n_ranges)
+    out = [settled, e[(n[same] > 1) & (e["how"] == PLAIN)]]
+    # Where a context stands in several such classes, one unit of each is compared window by window.
+    _, group, classes = alike(e["more"][first], e["hash"][first])
+    some = first[classes[group] > 1] if len(first) else first
+    if len(some):
+        unit, start = repeated_windows(e[some], np.frombuffer(raw, np.uint8), (np.cumsum(size) - size)[some])
+        alone = n[same[some]][unit] < 2  # the others repeat as a whole
+        unit, start = unit[alone], start[alone]
+        new = np.flatnonzero(np.concatenate((np.ones(min(len(unit), 1), bool), (unit[1:] != unit[:-1]) | (start[1:] != start[:-1] + 1))))
+        runs = e[some[unit[new]]]
+        runs["a"] = runs["lo"] = start[new]
+        runs["hi"] = start[np.append(new[1:] - 1, len(unit) - 1)] if len(new) else 0
+        out.append(runs)
+    return by_key(np.concatenate(out), n_ranges)
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def first_round(keys: list[int], texts: list[str | None], _: list) -> np.ndarray:
+def first_round(k1: list[int], k2: list[int], texts: list[str | None], _: list) -> tuple[np.ndarray, list[bytes]]:
     raw = [_bytes(t) for t in texts]
     sizes = np.array([len(x) for x in raw])
-    data = b"".join(raw)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
     some = sizes >= LENGTH  # shorter texts have no window, and empty ones would share a start
     if not some.any():
-        return np.zeros(0, UNIT)
-    u = units(data, starts, ends) if some.all() else units(data := b"".join(x for x, k in zip(raw, some) if k), starts := (ends := np.cumsum(sizes[some])) - sizes[some], ends)
-    own = np.array(keys, np.int64)[some]
+        return np.zeros(0, UNIT), []
+    data = b"".join(x for x, k in zip(raw, some) if k)
+    ends = np.cumsum(sizes[some])
+    starts = ends - sizes[some]
+    u = units(data, starts, ends)
     e = np.zeros(len(u), UNIT)
     doc = np.searchsorted(starts, u[:, 1], "right") - 1
-    e["hash"] = hash64(memoryview(data), *common_bytes(u[:, 0], u[:, 3]))
+    e["hash"] = hash64(memoryview(data), *context_of(u[:, 0], u[:, 3]))
     e["hash"] ^= u[:, 3].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    e["key"] = own[doc]
+    e["k1"], e["k2"] = np.array(k1, np.int64)[some][doc], np.array(k2, np.int64)[some][doc]
     for f, c in (("a", 0), ("lo", 1), ("hi", 2)):
         e[f] = u[:, c] - starts[doc]
     e["kind"] = u[:, 3]
-    return e
+    return e, []
 
 
-def second_round(keys: list[int], texts: list[str | None], blobs: list[bytes]) -> np.ndarray:
-    out = [np.zeros(0, CLASSED)]
-    for key, text, x in zip(keys, texts, blobs):
-        p, view = np.frombuffer(x, PLACE), memoryview(_bytes(text))
+def second_round(k1: list[int], k2: list[int], texts: list[str | None], blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    out, strings = [np.zeros(0, CLASSED)], []
+    for i, j, text, x in zip(k1, k2, texts, blobs):
+        p, raw = np.frombuffer(x, PLACE), _bytes(text)
+        view = memoryview(raw)
         e = np.zeros(len(p), CLASSED)
         a, kind = p["a"].astype(np.int64), p["kind"].astype(np.int64)
-        e["hash"] = hash64(view, *common_bytes(a, kind)) ^ (kind.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+        begin, end = context_of(a, kind)
+        c = hash128(view, begin, end)
+        e["hash"], e["more"] = c[:, 0] ^ (kind.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)), c[:, 1]
         c = hash128(view, p["lo"], p["hi"] + LENGTH)
-        e["c1"], e["c2"], e["key"] = c[:, 0], c[:, 1], key
-        for f in ("a", "lo", "hi", "kind"):
+        e["c1"], e["c2"], e["k1"], e["k2"] = c[:, 0], c[:, 1], i, j
+        for f in PLACE.names:
             e[f] = p[f]
         out.append(e)
-    return np.concatenate(out)
-
-
-def third_round(keys: list[int], texts: list[str | None], blobs: list[bytes]) -> np.ndarray:
-    out = [np.zeros(0, WINDOW)]
-    for key, text, x in zip(keys, texts, blobs):
-        p, view = np.frombuffer(x, PLACE), memoryview(_bytes(text))
-        n = p["hi"] - p["lo"] + 1
-        s = np.concatenate([np.arange(lo, hi + 1) for lo, hi in zip(p["lo"].tolist(), p["hi"].tolist())])
-        e = np.zeros(len(s), WINDOW)
-        c = hash128(view, s, s + LENGTH)
-        e["hash"], e["c1"], e["key"], e["lo"], e["mark"] = c[:, 0], c[:, 1], key, s, np.repeat(p["mark"], n)
-        out.append(e)
-    return np.concatenate(out)
+        strings += [raw[lo:b] + raw[d : hi + LENGTH] for lo, b, d, hi in zip(p["lo"].tolist(), begin.tolist(), end.tolist(), p["hi"].tolist())]
+    return np.concatenate(out), strings
 
 
 def removed_runs(p: np.ndarray) -> list[tuple[int, int]]:
@@ -333,28 +432,25 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = docs.withColumn("k1", F.xxhash64(doc_id, "text")).withColumn("k2", F.xxhash64(F.lit("second"), "text", doc_id))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(16, chars // RANGE_CHARS)
     long = docs.filter(F.octet_length("text") >= LENGTH)
 
     def places_of(found: DataFrame) -> DataFrame:
-        return found.select("range", "entries").groupBy("range").applyInArrow(gather, "key long, places binary")
-
-    def with_places(found: DataFrame) -> DataFrame:
-        return long.join(places_of(found), "key").select("key", "text", "places")
+        return found.groupBy("range").applyInArrow(gather, "k1 long, k2 long, places binary")
 
     def reduced(entries: DataFrame, reduce: Callable[[pa.Table, int], pa.Table]) -> DataFrame:
         return entries.groupBy("range").applyInArrow(lambda t: reduce(t, n), PLACES)
 
-    one = packed_pass(long.select("key", "text", F.lit(None).cast("int").alias("none")), first_round, ["hash"], n)
+    one = packed_pass(long.select("k1", "k2", "text", F.lit(None).cast("int").alias("none")), first_round, ["hash"], n)
     one = Written(reduced(one, repeated_units), "units")
-    two = packed_pass(with_places(one.read()), second_round, ["hash", "c1", "c2"], n)
-    two = Written(reduced(two, repeated_classes), "classes")
+    with_places = long.join(places_of(one.read()), ["k1", "k2"]).select("k1", "k2", "text", "places")
+    two = packed_pass(with_places, second_round, ["c2", "c1", "more", "hash"], n)
+    found = Written(reduced(two, repeated_places), "repeats").read()
     one.drop()
-    three = packed_pass(with_places(two.read().filter(F.col("goal") == COMPARE)), third_round, ["hash", "c1"], n)
-    found = two.read().filter(F.col("goal") == REPEAT).unionByName(reduced(three, repeated_windows))
-    joined = docs.join(places_of(found), "key", "left").select("doc_id", "text", "places")
+    joined = docs.join(places_of(found), ["k1", "k2"], "left").select("doc_id", "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
