@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SEP = r"[\x20\x09-\x0D]+"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ROWS_PER_BATCH = "2000"
+ROWS_PER_BATCH, BYTES_PER_BATCH = "2000", "64m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows an Arrow batch holds, so that batches of long texts fit a Python worker."""
+    """Bounds the rows and bytes an Arrow batch holds, so that batches of long texts fit a Python worker (for the session: plans read it when they run)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; where none is set, a temporary one on a single machine and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jdir.get() if jdir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -34,7 +34,7 @@ DIGIT = re.compile(r"[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 
@@ -73,6 +73,19 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """From each start the longest run that ends where a group of letters and digits does and passes mod-97; other capitals may follow."""
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 1
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] != " " and not text[end : end + 1].isalnum() and len(code := text[m.start() : end].replace(" ", "")) >= 15 and mod97(code):
+                out.append((m.start(), end))
+                at = end
+                break
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """What the e-mail pattern matches: from each @ back over its local part and forth over its domain."""
     out, end, at = [], 0, text.find("@")
@@ -123,7 +136,7 @@ def find_spans(text: str | None, threshold: float = 0.5) -> tuple[list[tuple[str
     if not DIGIT.search(text):
         return base, [Span(k, s, e, context_score(k, text, s, e)) for k, s, e in base]
     spans = [Span(k, s, e, context_score(k, text, s, e)) for k, s, e in base]
-    extra = [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    extra = [("iban", s, e) for s, e in ibans(text)]
     if "-" in text:
         extra += [("ssn", m.start(), m.end()) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0] < "900" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     extra += [("local_phone", m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
