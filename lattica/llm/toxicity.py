@@ -5,7 +5,8 @@ token that shows such signs becomes a lattice of the letters each sign may stand
 picks the path that the channel and a character trigram model make likeliest. A run of single
 characters is one lattice, in which a space is nothing or a word break. The model is counted
 over all training texts. Words and word beginnings that labelled toxic documents hold far more
-often than others are the features of a logistic regression over the restored words.
+often than others (``MIN_TOXIC`` documents, ``MIN_ODDS`` times) are the features of a logistic
+regression over the restored words.
 
 Scale: one pass counts trigrams (a table of 32^3 sums, whatever the corpus), one scores; each works
 row by row in Arrow batches without a shuffle of text. Only the fit sees a bounded sample of
@@ -28,7 +29,8 @@ from lattica.llm.common import Written, bucket_of, labelled_sample, map_batches,
 
 A = 32
 MOST_LABELLED = 20_000
-MOST_FEATURES = 20_000
+MIN_TOXIC = 3
+MIN_ODDS = 6.0
 CACHE = 300_000
 THRESHOLD = 0.7
 #: What a sign may stand for.
@@ -183,12 +185,12 @@ def features(words: set[str]) -> set[str]:
     return words | {"^" + w[:5] for w in words if len(w) >= 5}
 
 
-def select_features(rows: DataFrame, n: int, n_toxic: int) -> list[str]:
-    """Features that at least 3 toxic documents hold and that are 6 times likelier in them."""
+def select_features(rows: DataFrame, n: int, n_toxic: int, min_toxic: int = MIN_TOXIC, min_odds: float = MIN_ODDS) -> list[str]:
+    """All features that at least min_toxic toxic documents of the sample hold and that are min_odds times likelier in them."""
     counts = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("c"))
     odds = (F.col("a") / F.lit(max(n_toxic, 1))) / ((F.col("c") - F.col("a") + 1) / F.lit(max(n - n_toxic, 1)))
-    kept = counts.filter("a >= 3").withColumn("odds", odds).filter("odds >= 6").orderBy(F.desc("a"), "f").limit(MOST_FEATURES)
-    return [r.f for r in kept.select("f").collect()]
+    kept = counts.filter(F.col("a") >= min_toxic).withColumn("odds", odds).filter(F.col("odds") >= min_odds)
+    return [r.f for r in sorted(kept.select("f", "a").collect(), key=lambda r: (-r.a, r.f))]
 
 
 def logistic(rows: list[np.ndarray], y: np.ndarray, n: int, epochs: int = 800, l2: float = 3e-5) -> tuple[np.ndarray, float]:
