@@ -7,7 +7,7 @@ depend on its bytes alone, a task computes each distinct segment once and adds i
 as it occurs: the result is that of labelling every position of every text.
 
 Training sees all segments of a bounded sample of documents, about ``docs_per_language`` of each
-language, all languages alike; scoring covers every byte of every document, row by row in Arrow
+language, all languages alike and every language that is given; scoring covers every byte of every document, row by row in Arrow
 batches, without a shuffle. The table of known segments has a bounded size.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if
@@ -29,7 +29,6 @@ from lattica.llm import gru
 from lattica.llm.common import bucket_of, map_batches, table
 
 DOCS_PER_LANGUAGE = 400
-MOST_LANGUAGES = 512
 HIDDEN = 16
 STEPS = 1500
 BATCH = 256
@@ -194,12 +193,12 @@ def predict(labeller: Labeller | None, langs: list[str], texts: list[str | None]
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict:
     """Trains on about docs_per_language documents of each language, chosen by the hash of their id."""
     train_docs = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), 3) != 1))
-    counts = train_docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    counts = [(r.lang, r.n) for r in counts.collect()]
+    counts = train_docs.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = sorted((r.lang, r.n) for r in counts.collect())
     if not counts:
         return {"langs": [], "p": None}
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(docs_per_language / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 52)) / float(1 << 52)
     sample = train_docs.filter(draw < F.try_element_at(share, "lang")).select("lang", "text")
     segments: dict[str, Counter] = {}
 
@@ -214,8 +213,8 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict:
         return count
 
     words = map_batches(sample, make, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    # The table is as large as the sample's vocabulary; rare words beyond the bound add nothing to training.
-    for r in words.orderBy(F.desc("n"), "w", "lang").limit(200_000).collect():
+    # The table is as large as the sample's vocabulary, which the sample bounds.
+    for r in words.collect():
         c = segments.setdefault(r.lang, Counter())
         for b in pieces(r.w):
             c[b] += r.n
