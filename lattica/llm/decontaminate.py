@@ -6,12 +6,14 @@ masked hashes of the benchmark are joined with those of every document; around e
 and the item are compared word by word along the hit's diagonal, and the stretch with the best score
 (1 for an equal word, -2 for another) counts if it holds ``min_match`` equal words.
 
-Scale: the benchmark is worked off in blocks of at most ``block_chars`` characters; each block's index
-is the only thing sent to the executors, and documents stream past it in Arrow batches. Nothing of a
-document is shuffled, so hot passages or sources have no group to overload.
-
-Defined results: null or empty texts hold nothing; an item of fewer than 8 words is found only as a
-whole and only if it has at least 4 distinct words; ties between diagonals go to the first place in the
+Scale: the benchmark is worked off in blocks of at most ``block_chars`` characters (4 million make an index
+of about 100 MB); each block's index is the only thing sent to the executors, and documents stream past it
+in Arrow batches. Nothing of a document is shuffled, so hot passages or sources have no group to overload.
+The benchmark itself passes through the driver; it is the small side, and each block costs a scan of the documents.
+
+Defined results: null or empty texts hold nothing; an overlap needs 4 distinct equal words, or all the
+item's where it has 2 or 3; an item of one word over and over is never found; an item of fewer than 8
+words is found only as a whole and only if it has at least 4 distinct words; ties between diagonals go to the first place in the
 document; repeated rows give repeated results; empty tables give an empty result; extra columns are
 ignored.
 """
@@ -32,7 +34,7 @@ SPAN = 8
 MIN_MATCH = 8
 MIN_DISTINCT = 4
 MISMATCH = 2
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
 CACHE = 500_000
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…«»“”‘’¿¡–—"
@@ -85,19 +87,20 @@ class Index:
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in words for w in x}))}
         self.item_ids = [i for i, _ in items]
         self.items = [np.array([self.vocabulary[w] for w in x], np.int64) for x in words]
-        hashes, item, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.distinct = [len(np.unique(x)) for x in self.items]
+        hashes, item, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for i, x in enumerate(self.items):
-            if len(x) < SPAN or len(np.unique(x)) < MIN_DISTINCT:
+            if len(x) < SPAN or self.distinct[i] < 2:
                 continue
             for k, m in enumerate(MASKS):
                 h = mask_hashes(x, m, k)
                 hashes.append(h)
-                item.append(np.full(len(h), i))
-                pos.append(np.arange(len(h)))
+                item.append(np.full(len(h), i, np.int32))
+                pos.append(np.arange(len(h), dtype=np.int32))
         # Items shorter than a window are found by their first word.
         self.short: dict[int, list[int]] = {}
         for i, x in enumerate(self.items):
-            if len(x) < SPAN and len(np.unique(x)) >= MIN_DISTINCT:
+            if len(x) < SPAN and self.distinct[i] >= MIN_DISTINCT:
                 self.short.setdefault(int(x[0]), []).append(i)
         h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
@@ -135,7 +138,7 @@ class Index:
         end = int(np.argmax(s - low))
         start = int(np.argmin(s[: end + 1]))
         part = same[start:end]
-        if len(np.unique(ids[a + start : a + end][part])) < MIN_DISTINCT:
+        if len(np.unique(ids[a + start : a + end][part])) < min(MIN_DISTINCT, self.distinct[item]):
             return 0, 0, 0
         return int(part.sum()), a + start, end - start
 
