@@ -202,12 +202,17 @@ def star_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return around.select(F.explode("s").alias("u"), F.array_min("s").alias("v")).filter("u <> v")
 
 
+def roots_of(rows: DataFrame, max_bits: int) -> DataFrame:
+    """fp and root (the same for all fingerprints of a component) of the fingerprints in rows."""
+    fps = Written(rows.select("fp").distinct(), "fps").read()
+    roots = components(links(fps, max_bits))
+    return fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of every document."""
     rows = Written(fingerprints(docs, shingle), "simhash").read()
-    fps = Written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps").read()
-    roots = components(links(fps, max_bits))
-    named = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots_of(rows, max_bits), "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -218,12 +223,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with two columns more, _k1 and _k2 (longer if docs has such): 128 bits of doc_id and text."""
+    doc_id, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
+    mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))
+    return docs.withColumns({f"{mark}k1": F.xxhash64(doc_id, text), f"{mark}k2": F.xxhash64(F.lit("second"), text, doc_id)})
+
+
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component, that with the least doc_id; all columns kept.
+    """One document of each component, that with the least doc_id (a null one comes last); all columns kept.
 
-    A row without doc_id goes by a negative number made of its text. Rows that share a doc_id count as one.
+    Rows are told apart by doc_id and text: different texts that share a doc_id stay unless they are linked;
+    of rows that repeat doc_id and text one stays. A null text counts as an empty one.
     """
-    named = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.coalesce("text", F.lit(""))) / 2).cast("long")))
-    groups = near_groups(named.select(F.col("_key").alias("doc_id"), "text"), shingle=shingle, max_bits=max_bits)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
-    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    named = row_keys(docs)
+    k1, k2 = named.columns[-2:]
+    id_schema = "doc_id long, k1 long, k2 long, fp long"
+
+    def make():
+        def rows(ids, a, b, texts):
+            return [ids, a, b, np.array([fingerprint(shingle_hashes(t, shingle)) for t in texts], np.uint64).view(np.int64).tolist()]
+
+        return rows
+
+    rows = Written(map_batches(named.select(F.col("doc_id").cast("long"), k1, k2, "text"), make, id_schema), "simhash").read()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
+    # By fingerprint first, so that a large component is summed up before its root gathers it.
+    named_fps = rows.groupBy("fp").agg(first.alias("f")).join(roots_of(rows, max_bits), "fp")
+    kept = named_fps.groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.k1").alias(k1), F.col("f.k2").alias(k2))
+    return named.join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[F.col(f"`{c}`") for c in docs.columns])
