@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from lattica.llm import gru
 from lattica.llm.common import Written, bucket_of, map_batches, small_batches, table
 
-HEAD = 1536
+HEAD = 1024
 CLASS = 64
-HIDDEN = 24
+HIDDEN = 16
 EMBED = 16
 WINDOW = 32
 LANES = 128
@@ -62,9 +62,9 @@ CACHE = 600_000
 PLACES = 1024
 END = b"\n"
 N_HEAD = HEAD // CLASS
-#: Looks of tokens outside the head: 2 kinds of first letters, 2 closing signs, 5 kinds of letters, 3 lengths; and tokens with signs or digits inside.
+#: Looks of tokens outside the head: 2 kinds of first letters, 2 closing signs, 5 kinds of letters, 2 lengths; and tokens with signs or digits inside.
 LETTER_KINDS = (frozenset("äöüß"), frozenset("ñíóú¿¡"), frozenset("éèêàçùœâîô"))
-N_LOOKS = 2 * 2 * 5 * 3 + 4
+N_LOOKS = 2 * 2 * 5 * 2 + 4
 N_CLASSES = N_HEAD + N_LOOKS
 
 
@@ -76,9 +76,9 @@ def look(token: bytes) -> int:
     if not body.isalpha():
         return N_LOOKS - 4 + (0 if not body else 1 if body.isdigit() else 2 if any(map(str.isdigit, body)) else 3)
     kind = 3 if body.isascii() else next((k for k, s in enumerate(LETTER_KINDS) if not s.isdisjoint(body)), 4)
-    size = 0 if len(body) <= 5 else 1 if len(body) <= 9 else 2
+    long = len(body) > 7
     first = body[0] in "etaoinsr"
-    return ((first * 2 + closed) * 5 + kind) * 3 + size
+    return ((first * 2 + closed) * 5 + kind) * 2 + long
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -284,7 +284,18 @@ def common_tokens(train: DataFrame) -> tuple[list[bytes], np.ndarray]:
         return count
 
     counts = map_batches(train.select("text"), make_counts, "t binary, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "t").limit(COMMON).collect()
+    held = Written(counts, "tokens")
+    # The count that COMMON tokens at most reach, from a histogram by three digits of the count.
+    digits = F.pow(F.lit(10.0), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0)))
+    bins = held.read().groupBy((F.floor(F.col("n") / digits) * digits).cast("long").alias("least")).agg(F.count("*").alias("tokens")).collect()
+    least, room = None, COMMON
+    for r in sorted(bins, key=lambda r: -r.least):
+        room -= r.tokens
+        if room < 0:
+            break
+        least = r.least
+    found = [] if least is None else sorted(held.read().filter(F.col("n") >= least).collect(), key=lambda r: (-r.n, bytes(r.t)))
+    held.drop()
     return [bytes(r.t) for r in found], np.array([r.n for r in found], np.int64)
 
 
