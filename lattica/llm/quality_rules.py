@@ -5,14 +5,15 @@ row. Lines are then normalised (lower case, white space collapsed) and hashed; t
 host that hold a line are counted, lines above the host's limit are removed from the text (the others
 are joined again in their order), and a document that loses more than ``max_removed`` of its word characters is rejected as depleted.
 
-Scale: one row a line is shuffled as two longs and an int, counts are combined before the shuffle
-(a line that a third of all documents share costs one row a task), and the join back to the lines
-is an equi-join on (host, line) that adaptive execution splits where a line is hot. Texts move once,
-to meet the places of their removed lines.
+Scale: texts are read once; each leaves a short row of its measures and its lines' hashes and sizes, which
+is written. Counting shuffles a hash and an id for each line, spread by line and document before they are
+counted by line, so that a line that a third of all documents share has no task of its own; the join back
+to the lines is an equi-join on (host, line) that adaptive execution splits where a line is hot. Texts move
+only where they are asked for, to meet the places of their removed lines.
 
 Defined results: a null or empty text has no words or lines (all counts 0, ``base_failed`` true);
-a null source is the host ''; repeated rows count as separate documents and get equal results; an
-empty table gives an empty result; extra columns are ignored.
+a null source is the host ''; rows that share a doc_id count as one document of a line and get results of
+their own, rows without doc_id aren't counted; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD_SEP, table
+from lattica.llm.common import WORD_SEP, Written, table
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -30,13 +31,9 @@ def _letters(c: Column) -> Column:
     return F.length(F.translate(c, WHITE, "")).cast("long")
 
 
-def _worded(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
-
-
 def _lines(text: Column) -> Column:
     """The \\n-split lines that hold a word."""
-    return F.filter(F.split(text, "\n"), _worded)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -68,50 +65,55 @@ def measures(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", n_repeat).drop("h", "s", "p")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: host, doc_id, text_hash, i (its place among all lines), line, first (in its document)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def line_keys(text: Column) -> Column:
+    """For each \\n-split line its word characters and, if it has any, the hash of its normal form."""
     norm = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, WORD_SEP, " "))))
-    d = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("ln"))
-    d = d.select("doc_id", "host", "text_hash", F.transform("ln", lambda x: F.when(_worded(x), norm(x))).alias("keys"))
-    d = d.select("doc_id", "host", "text_hash", "keys", F.posexplode("keys").alias("i", "line")).filter("line is not null")
-    return d.select("doc_id", "host", "text_hash", "i", "line", (F.array_position("keys", F.col("line")) == F.col("i") + 1).alias("first"))
-
-
-def without_lines(text: Column, places: Column) -> Column:
-    """The text without the lines at these places (from 0)."""
-    lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
-    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    sized = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _letters(x).cast("int").alias("chars")))
+    return F.transform(sized, lambda x: F.struct(F.when(x["chars"] > 0, norm(x["line"])).alias("key"), x["chars"].alias("chars")))
 
 
-def quality_rules(docs: DataFrame, *, min_docs: int = 20, host_share: float = 0.002, max_removed: float = 0.5, min_words: int = 50) -> DataFrame:
-    """The measures of each document, its text without the lines above the limit, ``removed_chars`` of these, base_failed and kept.
+def verdicts(docs: DataFrame, *, min_docs: int = 20, host_share: float = 0.002, max_removed: float = 0.5, min_words: int = 50) -> DataFrame:
+    """doc_id, host, text_hash, the measures, ``places`` of the lines above the limit, ``removed_chars`` of these, base_failed and kept of each document.
 
     A line is above the limit if more than ``greatest(min_docs, host_share * documents of the host)``
-    documents of its host hold it.
+    documents of its host hold it. Texts are read once; what follows works on short rows written for it.
     """
-    m = measures(docs)
-    lines = line_rows(docs)
-    hosts = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("host")).agg(F.greatest(F.lit(float(min_docs)), F.lit(host_share) * F.count("*")).alias("most"))
-    counts = lines.filter("first").groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    m = measures(docs).withColumn("lines", line_keys(F.coalesce("text", F.lit("")))).drop("text").withColumn("row", F.monotonically_increasing_id())
+    m = Written(m, "lines").read()
+    # Rows that share a doc_id count as one document.
+    held = m.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("line")).filter("line is not null")
+    counts = held.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n_docs"))
+    hosts = m.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.lit(host_share) * F.count("*")).alias("most"))
     # Few lines pass min_docs, so the join with each host's own limit sees little.
     frequent = counts.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > F.col("most")).select("host", "line")
-    # The places of a document's removed lines; a set, as rows that repeat a document have the same.
-    gone = lines.join(frequent, ["host", "line"], "left_semi").groupBy("doc_id", "host", "text_hash").agg(F.collect_set("i").alias("places"))
-    on = F.col("m.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("m.host") == F.col("r.host")) & (F.col("m.text_hash") == F.col("r.text_hash"))
-    out = m.alias("m").join(gone.alias("r"), on, "left").select("m.*", "r.places")
-    out = out.withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("places"))))
-    lost = F.when(F.col("places").isNull(), F.lit(0).cast("long")).otherwise(F.col("word_chars") - _letters(F.col("text")))
-    out = out.withColumn("removed_chars", lost).drop("places")
+    lines = m.select("host", "row", F.posexplode("lines").alias("i", "x")).select("host", "row", "i", F.col("x.key").alias("line"), F.col("x.chars").alias("chars")).filter("line is not null")
+    gone = lines.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("chars").alias("lost"), F.collect_set("i").alias("places"))
+    out = m.drop("lines").join(gone, "row", "left").withColumn("removed_chars", F.coalesce("lost", F.lit(0)).cast("long")).drop("row", "lost")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("removed_chars") > F.lit(max_removed) * F.col("word_chars")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at these places (from 0)."""
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+
+def quality_rules(docs: DataFrame, **limits: float) -> DataFrame:
+    """The verdicts (see there for the limits) and each document's text without the lines above the limit."""
+    v = verdicts(docs, **limits).dropDuplicates(["doc_id", "host", "text_hash"])  # rows that repeat a document have the same
+    d = docs.select(F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("_host"), "text")
+    d = d.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_host") == F.col("host")) & (F.col("_hash") == F.col("text_hash"))
+    out = d.join(v, on).withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("places"))))
+    return out.drop("_id", "_host", "_hash", "places")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op8: quality_rules over all of ``documents``."""
-    out = quality_rules(table(spark, sf_dir, "documents"))
+    out = verdicts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
 
 
