@@ -142,36 +142,58 @@ def type_of(plan: Plan, alias: str) -> Column | None:
     return out
 
 
-def _folded(query: Query, alias: str, need: set[str]) -> DataFrame:
+def _direct(query: Query, alias: str, fields: list[Output]) -> DataFrame | None:
+    """A to-many node's rows (its fields and its parent's id) without a join with the parent, where no condition needs one."""
+    plan, node = query.plan, query.plan.node(alias)
+    above = _path(plan, alias)[-2]
+    own = [j for j in plan.joins if j.node in _within(plan, alias)]
+    ids = plan.ids(above)
+    if query.wheres or _repeats(plan) or len(ids) != 1 or node.via.on or not own:
+        return None
+    first, rest = own[0], own[1:]
+    parent = f"{quote(ids[0].table, ids[0].column)} = "
+    exprs = {o.name: plan.text(o.expr) if o.expr is not None else quote(o.table, o.column) for o in fields}
+    mine = {j.alias for j in own}
+    others = [quote(a) for a in plan.aliases() - mine - _within(plan, alias)]
+    if not first.on.startswith(parent) or any(x in t for x in others for t in [*exprs.values(), *(j.on for j in rest), first.on[len(parent) :]]):
+        return None
+    df = query.catalog.table(first.table, first.schema).alias(first.alias)
+    inner = replace(query, plan=replace(plan, joins=tuple(rest), index={}))
+    for j in inner._used_joins(list(exprs.values())):
+        df = df.join(query.catalog.table(j.table, j.schema).alias(j.alias), F.expr(j.on), j.how)
+    return df.select(F.expr(first.on[len(parent) :]).alias(ids[0].name), *(F.expr(e).alias(n) for n, e in exprs.items()))
+
+
+def _folded(query: Query, alias: str, need: set[str], given: DataFrame | None = None) -> DataFrame:
     """The arrays of a to-many node, by the ids of the node above: columns of those ids and ``alias``."""
     plan = query.plan
     path = _path(plan, alias)
-    above = path[-2]
-    own = _pruned(query, need | set(path[1:]))
-    keys = _ids(plan, above)
+    keys = _ids(plan, path[-2])
     fields = [o for o in plan.outputs if o.node in _within(plan, alias)]
-    flat = own.rows().select(*(F.col(quote(o.name)) for o in dict.fromkeys([*keys, *fields])))
+    both = list(dict.fromkeys([*keys, *fields]))
+    flat = given if given is not None else _direct(query, alias, fields)
+    if flat is None:
+        own = _pruned(query, need | set(path[1:]))
+        flat = replace(own, plan=replace(own.plan, outputs=tuple(both), others=(), index={})).rows()
+    flat = flat.select(*(F.col(quote(o.name)) for o in both))
     node = plan.node(alias)
     arrays = {}
     for b in _branches(plan, alias):
-        flat = _attach(flat, _folded(query, b.alias, need), _ids(plan, alias), b.alias)
+        flat = _attach(flat, _folded(query, b.alias, need, given), _ids(plan, alias), b.alias)
         arrays[b.alias] = b.alias
     here = _known(plan, node)
     flat = flat.filter(reduce(lambda a, b: a | b, [F.col(quote(o.name)).isNotNull() for o in here]))
     names = [F.col(quote(o.name)) for o in keys]
-    distinct = [*keys, *_ids(plan, alias)]
     via = node.via
     if isinstance(via, Values):
         value = F.col(quote(f"{alias}.value"))
-        if via.distinct:
-            flat = flat.distinct()
-        return flat.groupBy(*names).agg(F.sort_array(F.collect_list(value)).alias(alias))
+        many = F.collect_set(value) if via.distinct or given is not None else F.collect_list(value)
+        return flat.groupBy(*names).agg(F.sort_array(many).alias(alias))
     assert isinstance(via, (ToMany, Through))
-    # Rows that other joins repeat are one entity.
-    flat = flat.dropDuplicates([o.name for o in dict.fromkeys(distinct)])
+    # Rows that other joins repeat are alike and count once in the set; so do children without ids.
     order = [F.col(quote(o.name)).alias(f"_{i}") for i, o in enumerate(_ids(plan, alias))]
     item = F.struct(*order, F.struct(*_struct(plan, alias, arrays)).alias("_item"))
-    return flat.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["_item"]).alias(alias))
+    return flat.groupBy(*names).agg(F.transform(F.sort_array(F.collect_set(item)), lambda x: x["_item"]).alias(alias))
 
 
 def _attach(df: DataFrame, arrays: DataFrame, keys: list[Output], alias: str) -> DataFrame:
@@ -183,17 +205,21 @@ def _attach(df: DataFrame, arrays: DataFrame, keys: list[Output], alias: str) ->
     return out.withColumn(alias, F.coalesce(F.col(quote(alias)), F.array().cast(arrays.schema[alias].dataType)))
 
 
-def fold(query: Query) -> DataFrame:
-    """One row for each root entity of the query."""
+def fold(query: Query, given: DataFrame | None = None) -> DataFrame:
+    """One row for each root entity of the query; given: flat rows from elsewhere, columns named as those of rows()."""
     plan, need = query.plan, _referred(query)
-    base = _pruned(query, need).rows()
     keys = _ids(plan, plan.root)
     keep = [o for o in plan.outputs if o.node in _within(plan, plan.root)]
+    if given is None:
+        own = _pruned(query, need)
+        base = replace(own, plan=replace(own.plan, outputs=tuple(keep), index={})).rows()
+    else:
+        base = given
     base = base.select(*(F.col(quote(o.name)) for o in keep), *(F.col(quote(f"{a}.{f.name}")) for a, f in plan.others if a == plan.root))
-    base = base.dropDuplicates([o.name for o in keys]) if need or not plan.ids(plan.root) or _repeats(plan) else base
+    base = base.dropDuplicates([o.name for o in keys]) if given is not None or need or not plan.ids(plan.root) or _repeats(plan) else base
     arrays = {}
     for b in _branches(plan, plan.root):
-        base = _attach(base, _folded(query, b.alias, need), keys, b.alias)
+        base = _attach(base, _folded(query, b.alias, need, given), keys, b.alias)
         arrays[b.alias] = b.alias
     return base.select(*_struct(plan, plan.root, arrays))
 

@@ -176,6 +176,9 @@ class Query:
         c = self._ordered(text[1:-1], grouped) if re.fullmatch(r"\{[^{}]*\}", text) else self.column(text)
         return getattr(c, f"{'desc' if down else 'asc'}_nulls_{nulls}")()
 
+    def _order_texts(self, orders: Iterable[str | Expr | Order]) -> list[str]:
+        return self._texts(ORDER_TEXT.match(k.strip())["expr"] if isinstance(k, str) else k for k in orders)
+
     def _ordered(self, name: str, grouped: bool) -> Column:
         """In a grouped query an order is by an output, else by what the marker stands for."""
         found = self.plan.find(name)
@@ -185,10 +188,35 @@ class Query:
 
     # DataFrames.
 
-    def source(self) -> DataFrame:
-        """The joined and filtered tables, under their aliases."""
+    def _texts(self, keys: Iterable[str | Expr | Pred | Order]) -> list[str]:
+        """The SQL that keys stand for."""
+        out: list[str] = []
+        for k in keys:
+            k = k.expr if isinstance(k, Order) else k
+            if isinstance(k, str):
+                out.append(self.plan.text(k))
+            elif isinstance(k, Expr | Pred):
+                k.column(lambda path: (out.append(self.plan.lookup(path)), F.lit(None))[1])
+        return out
+
+    def _used_joins(self, texts: list[str]) -> list[Join]:
+        """The joins without those that texts, conditions and other joins don't refer to and that neither add nor drop rows."""
+        kept: list[Join] = []
+        text = "\n".join([*texts, *self._texts(self.wheres)])
+        for j in reversed(self.plan.joins):
+            if j.single and j.how == "left" and f"{quote(j.alias)}" not in text:
+                # Text may name the table or its columns without quotes.
+                loose = {w.lower() for w in re.findall(r"\w+", re.sub(r"`[^`]*`(?:\.`[^`]*`)*", " ", text))}
+                if loose.isdisjoint({j.alias.lower(), *j.alias.lower().split("."), *(c.lower() for c in self.catalog.table(j.table, j.schema).columns)}):
+                    continue
+            kept.insert(0, j)
+            text += f"\n{j.on}"
+        return kept
+
+    def source(self, texts: list[str] | None = None) -> DataFrame:
+        """The joined and filtered tables, under their aliases; with texts only the joins that matter to them."""
         df = self.catalog.table(self.plan.table, self.plan.schema).alias(self.plan.root)
-        for j in self.plan.joins:
+        for j in self.plan.joins if texts is None else self._used_joins(texts):
             df = df.join(self.catalog.table(j.table, j.schema).alias(j.alias), F.expr(j.on), j.how)
         for w in self.wheres:
             df = df.filter(self.column(w))
@@ -205,10 +233,12 @@ class Query:
 
     def rows(self) -> DataFrame:
         """The flat result: a column ``alias.field`` for each declared field, a row for each joined row."""
-        df, outs = self.source(), self.plan.outputs
-        cols = [self.column(o.expr).alias(o.name) if o.expr is not None else F.expr(quote(o.table, o.column)).alias(o.name) for o in outs]
+        outs = self.plan.outputs
         groups = self.groups if self.groups is not None else self.plan.group_by
         orders = self.orders if self.orders is not None else self.plan.order_by
+        texts = [self.plan.text(o.expr) if o.expr is not None else quote(o.table, o.column) for o in outs]
+        df = self.source([*texts, *self._texts(groups), *self._order_texts(orders), *(quote(node) for node, _ in self.plan.others)])
+        cols = [self.column(o.expr).alias(o.name) if o.expr is not None else F.expr(quote(o.table, o.column)).alias(o.name) for o in outs]
         whole = bool(groups) or any(o.expr and aggregates(o.expr) for o in outs)
         if whole:
             df = df.groupBy(*map(self.column, groups)).agg(*cols).select(*(F.col(quote(o.name)) for o in outs))
@@ -232,19 +262,26 @@ class Query:
             raise MappingError("limits and groups count joined rows; use rows()")
         return fold(self)
 
+    def fold_rows(self, rows: DataFrame) -> DataFrame:
+        """Entities from flat rows that come from elsewhere: a column ``alias.field`` for each declared field, repeats allowed."""
+        missing = [o.name for o in self.plan.outputs if o.name not in rows.columns]
+        if missing:
+            raise MappingError(f"the rows lack {', '.join(missing)}")
+        return fold(self, rows)
+
     def list_ids(self) -> DataFrame:
         """The distinct ids of the entities that the conditions leave."""
         ids = self.plan.ids(self.plan.root)
         if not ids:
             raise MappingError(f"{self.plan.shape.__name__} has no id")
-        return self.source().select(*(F.expr(quote(o.table, o.column)).alias(o.name) for o in ids)).distinct()
+        return self.source([quote(o.table, o.column) for o in ids]).select(*(F.expr(quote(o.table, o.column)).alias(o.name) for o in ids)).distinct()
 
     def count_df(self) -> DataFrame:
         """One row ``total``: the number of entities that the conditions leave; order, groups and limits don't count."""
         ids = [F.expr(quote(o.table, o.column)) for o in self.plan.ids(self.plan.root)]
         if not ids:
             raise MappingError(f"{self.plan.shape.__name__} has no id")
-        return self.source().agg(F.count_distinct(*ids).alias("total"))
+        return self.source([quote(o.table, o.column) for o in self.plan.ids(self.plan.root)]).agg(F.count_distinct(*ids).alias("total"))
 
     def count(self) -> int:
         return self.count_df().first().total

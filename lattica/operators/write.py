@@ -36,16 +36,22 @@ def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def numbered(table: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows with ids after the table's largest, in the stated order. One task numbers them: for small inserts."""
+    """Rows with ids after the table's largest, in the stated order: sorted by range, each range numbered after the rows of those before it."""
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    n = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("_n", n).join(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast(table.schema[key].dataType)).drop("_n", "_top")
+    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_size"))
+    # One row a range is left here, and the table's largest id.
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).select("_part", "_before")
+    n = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before") + F.col("_top")
+    return parted.join(before, "_part").join(F.broadcast(top)).withColumn(key, n.cast(table.schema[key].dataType)).select(*rows.columns, *([] if key in rows.columns else [key]))
 
 
 def updated(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with the columns of rows set where the keys agree; NULL sets NULL."""
+    """The table with the columns of rows set where the keys agree; NULL sets NULL. Two rows with one key raise an error when the plan runs."""
     changed = [c for c in rows.columns if c not in keys and c in table.columns]
-    new = rows.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*(F.col(f"`{c}`") for c in changed)).alias("_new"))
+    new = rows.groupBy(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in changed))).alias("_all"))
+    one = F.when(F.size("_all") > 1, F.raise_error(F.lit(f"two changes have one {', '.join(keys)}"))).otherwise(F.get("_all", F.lit(0)))
+    new = new.withColumn("_new", one).drop("_all")
     on = reduce(lambda x, y: x & y, [table[k] == F.col(f"_k{i}") for i, k in enumerate(keys)])
     joined = table.join(new, on, "left")
     cols = [F.when(F.col("_new").isNotNull(), F.col(f"_new.`{c}`")).otherwise(table[c]).cast(table.schema[c].dataType).alias(c) if c in changed else table[c] for c in table.columns]
@@ -148,7 +154,12 @@ class Store(Catalog):
         finally:
             stream.close()
 
-    def _publish(self, versions: dict[str, str]) -> None:
+    def _publish(self, versions: dict[str, str], read: dict[str, str]) -> None:
+        """Publishes if the tables that differ are still those that were read; a change by another session in between raises."""
+        now = self.versions()
+        if lost := [k for k, v in versions.items() if read.get(k) != v and now.get(k) != read.get(k)]:
+            raise StaleObjectError(f"{', '.join(lost)} was changed by another session")
+        versions = {**now, **{k: v for k, v in versions.items() if read.get(k) != v}}
         fs, tmp = self._fs(f"{self.home}/tables-{uuid.uuid4().hex}.json")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
@@ -177,7 +188,7 @@ class Store(Catalog):
         if self._open is not None:
             self._open[key] = path
         else:
-            self._publish(versions)
+            self._publish(versions, {**versions, key: self.versions().get(key)})
 
     @contextmanager
     def transaction(self) -> Iterator[Store]:
@@ -185,13 +196,14 @@ class Store(Catalog):
         if self._open is not None:
             yield self
             return
-        self._open = dict(self.versions())
+        read = self.versions()
+        self._open = dict(read)
         try:
             yield self
             done = self._open
         finally:
             self._open = None
-        self._publish(done)
+        self._publish(done, read)
 
     # Entities.
 
@@ -216,10 +228,12 @@ class Store(Catalog):
         """Adds entities, in every table of the shape; ids they lack are numbered on. Returns the ids."""
         ids, done = shape.ids(), []
         with self.transaction():
+            top = None
             for e in entities:
                 if len(ids) == 1 and e.get(ids[0].name) in (None, 0):
-                    top = self.table(shape.parts[0].table, shape.parts[0].schema).agg(F.max(ids[0].column)).first()[0]
-                    e[ids[0].name] = max([top or 0, *(d for d in done if isinstance(d, int))]) + 1
+                    if top is None:  # one job for all entities of the call
+                        top = self.table(shape.parts[0].table, shape.parts[0].schema).agg(F.max(ids[0].column)).first()[0] or 0
+                    e[ids[0].name] = max([top, *(d for d in done if isinstance(d, int))]) + 1
                 done.append(e[ids[0].name] if len(ids) == 1 else tuple(e[k.name] for k in ids))
             rows = [extract(shape, e) for e in entities]
             for i, part in enumerate(shape.parts):

@@ -43,6 +43,7 @@ class Join:
     alias: str
     on: str | None
     node: str = ""
+    single: bool = False  # at most one row of it meets a row: a left join by the target's only id
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,7 @@ class _Builder:
             if i < len(shape.parts) - 1:  # a base table on the shared key: all rows of the root have one
                 own = part.table if kind == "root" else f"{alias}.{part.table}"
                 on = " AND ".join(f"{quote(own, k.column)} = {quote(alias, k.column)}" for k in ids)
-                self.joins.append(Join("inner" if kind == "root" else "left", part.table, part.schema, own, on, alias))
+                self.joins.append(Join("inner" if kind == "root" else "left", part.table, part.schema, own, on, alias, kind != "root"))
             self.add_fields(part.fields, part, alias, own, "", alias, path)
         if shape.discriminator and not any(o.node == alias and o.label == shape.discriminator for o in self.outputs):
             self.outputs.append(Output(f"{alias}.{shape.discriminator}", alias, shape.discriminator, alias, shape.discriminator))
@@ -145,7 +146,7 @@ class _Builder:
                 continue
             own = f"{alias}.{v.table()}"
             on = " AND ".join(f"{quote(own, k.column)} = {quote(alias, k.column)}" for k in ids)
-            self.joins.append(Join("left", v.parts[-1].table, v.parts[-1].schema, own, on, alias))
+            self.joins.append(Join("left", v.parts[-1].table, v.parts[-1].schema, own, on, alias, True))
             self.nodes.append(Node(own, v, "variant", alias, None, own))
             for k in ids:
                 self.outputs.append(Output(f"{own}.{k.name}", own, k.name, own, k.column, None, True, k))
@@ -173,10 +174,10 @@ class _Builder:
 
     def id_of(self, alias: str) -> tuple[str, str]:
         """The table alias and column of a node's first id."""
-        found = next((o for o in self.outputs if o.node == alias and o.id), None)
-        if found is None:
+        found = [o for o in self.outputs if o.node == alias and o.id]
+        if not found:
             raise MappingError(f"{alias} has no id to join by")
-        return found.table, found.column
+        return found[0].table, found[0].column
 
     def condition(self, on: str, this: str, alias: str, link: str = "") -> str:
         for name, to in (("this", this), ("linktable", link), ("field", alias)):
@@ -188,8 +189,10 @@ class _Builder:
         ids = target.ids()
         if not f.on and not ids:
             raise MappingError(f"{target.__name__} has no id to join by")
+        if not f.on and len(ids) > 1:
+            raise MappingError(f"{target.__name__} has {len(ids)} ids; name the condition to join by")
         on = self.condition(f.on, own, alias) if f.on else f"{quote(own, prefix + f.key)} = {quote(alias, ids[0].column)}"
-        self.joins.append(Join("left", target.table(), target.parts[-1].schema, alias, on, alias))
+        self.joins.append(Join("left", target.table(), target.parts[-1].schema, alias, on, alias, not f.on))
         self.add_shape(target, alias, path, "one", node, f)
 
     def to_many(self, f: ToMany | Through, part: TablePart, node: str, path: tuple[type[Shape], ...]) -> None:

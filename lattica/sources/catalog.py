@@ -39,6 +39,13 @@ class Catalog:
         return self.spark.table(f"`{schema}`.`{name}`" if schema else f"`{name}`")
 
     def tables(self) -> DataFrame:
-        """table_schema, table_name, column_name, data_type and nullable of the registered tables."""
+        """table_schema, table_name, column_name, data_type and nullable of the registered tables and those of the folder."""
+        if self.folder is not None:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+            fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for f in fs.listStatus(p):
+                name = f.getPath().getName()
+                if name.endswith(f".{self.format}"):
+                    self.table(name[: -len(self.format) - 1])
         rows = [(s, n, f.name, f.dataType.simpleString(), f.nullable) for (s, n), df in sorted(self.frames.items(), key=lambda x: (x[0][0] or "", x[0][1])) for f in df.schema]
         return self.spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, data_type string, nullable boolean")

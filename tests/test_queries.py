@@ -265,3 +265,62 @@ def test_document_types(spark):
 def test_two_level_arrays(spark):
     e = Query.of(OrderDetail, Catalog(spark, SF)).entities()
     assert e.filter(F.size("lines") == 0).count() == e.count() - spark.read.parquet(f"{SF}/lineitem.parquet").join(e.select("id"), F.col("l_orderkey") == F.col("id"), "left_semi").select("l_orderkey").distinct().count()
+
+
+def scans_and_exchanges(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Relation ["), executed.count("Exchange hashpartitioning")
+
+
+def test_unused_to_one_joins_go(spark):
+    """A to-one join that nothing refers to isn't read; the rows stay the same."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert scans_and_exchanges(QUERIES["topk_join"](spark, SF))[0] == 2
+        assert scans_and_exchanges(QUERIES["join_to_one"](spark, SF))[0] == 2
+        # A branch without conditions is read without its parent: one exchange for it and one for the parent's rows.
+        assert scans_and_exchanges(QUERIES["fold_to_many_sizes"](spark, SF)) == (2, 2)
+        assert scans_and_exchanges(QUERIES["fold_nested_two_level"](spark, SF))[0] == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_raw_text_keeps_its_joins(spark):
+    c = Catalog(spark, SF)
+    q = Query.of(Order, c).select("id")
+    n = Query.of(Order, c).count()
+    assert q.where("c_acctbal IS NOT NULL").rows().count() == n
+    assert q.where("customer.c_acctbal IS NOT NULL").rows().count() == n
+    assert q.order_by("{customer.nation.name} DESC", "o_orderkey").rows().first()[0] is not None
+
+
+def test_two_changes_with_one_key_raise(spark):
+    from lattica.operators import write
+
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    with pytest.raises(Exception, match="two changes have one id"):
+        write.updated(table, spark.createDataFrame([(1, "c"), (1, "d")], "id long, x string"), ["id"]).collect()
+
+
+def test_numbered_over_many_ranges(spark):
+    from lattica.operators import write
+
+    table = spark.createDataFrame([(7, "a")], "id long, x string")
+    rows = spark.createDataFrame([(f"r{i:03d}",) for i in range(200)], "x string").repartition(7)
+    out = {r.x: r.id for r in write.numbered(table, rows, "id", ["x"]).collect()}
+    assert out == {f"r{i:03d}": 8 + i for i in range(200)}
+
+
+def test_changes_between_sessions_are_seen(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    one.create(Tag)
+    with pytest.raises(StaleObjectError), one.transaction():
+        one.insert(Tag, {"id": 1, "label": "x"})
+        two.insert(Tag, {"id": 2, "label": "y"})
+    assert [r.id for r in two.table("tag").collect()] == [2]
+
+
+def test_rows_from_elsewhere_need_all_columns(spark, boxes):
+    with pytest.raises(MappingError):
+        Query.of(Box, boxes).fold_rows(spark.createDataFrame([(1,)], "`box.id` long"))
