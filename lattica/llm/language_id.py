@@ -1,14 +1,15 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text is read in segments, its runs of letters and digits or of signs (cut at 32 bytes). The network reads each
-segment's bytes in both directions and labels every byte position with language probabilities; a
-document's log probability of a language is the mean over all its positions. As a segment's labels
-depend on its bytes alone, a task computes each distinct segment once and adds its labels up as often
-as it occurs: the result is that of labelling every position of every text.
+The network reads the bytes of a whole text (in lower case, white space and signs included) in both
+directions, its state carried across words, and labels every byte position with language
+probabilities; a document's log probability of a language is the mean over all its positions. Long
+texts are read in windows of about ``WINDOW`` bytes, each from ``CONTEXT`` bytes before its first position and
+to as many behind its last, whose own labels count in the windows beside it.
 
-Training sees all segments of a bounded sample of documents, about ``docs_per_language`` of each
-language, all languages alike and every language that is given; scoring covers every byte of every document, row by row in Arrow
-batches, without a shuffle. The table of known segments has a bounded size.
+Training sees windows of a bounded sample of documents: about ``docs_per_language`` documents of each
+language, all languages alike and every language that is given, and ``WINDOWS_PER_DOC`` windows of a
+document, spread evenly over its whole text. Scoring covers every byte of every document, row by row
+in Arrow batches, without a shuffle; what it holds is bounded by a batch and a block of windows.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if
 nothing can be learned; repeated rows get equal results; an empty table gives an empty result; extra
@@ -17,9 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +28,24 @@ from lattica.llm import gru
 from lattica.llm.common import bucket_of, map_batches, table
 
 DOCS_PER_LANGUAGE = 400
-HIDDEN = 16
-STEPS = 1500
-BATCH = 256
-SEGMENT = 32
-CACHE = 1_000_000
-RUNS = re.compile(r"[^\W_]+|[\W_]+")
-
-
-def pieces(word: str) -> list[bytes]:
-    """The segments of a run without white space: its runs of letters and digits, and of signs, in lower case, 32 bytes at most."""
-    word, out = word.lower(), []
-    for m in (word,) if word.isalnum() else RUNS.findall(word):
-        b = m.encode("utf-8", "replace")
-        out += [b] if len(b) <= SEGMENT else [b[i : i + SEGMENT] for i in range(0, len(b), SEGMENT)]
-    return out
+WINDOWS_PER_DOC = 16
+TRAIN_WINDOW = 64
+HIDDEN = 12
+STEPS = 400
+BATCH = 128
+WINDOW, CONTEXT = 512, 32
+#: The symbol that fills up windows; it leaves the state as it is.
+NONE = 256
+
+
+def train_windows(text: str) -> list[bytes]:
+    """At most WINDOWS_PER_DOC windows of TRAIN_WINDOW bytes, spread evenly over the text; a shorter text is one window."""
+    b = text.lower().encode("utf-8", "replace")
+    last = len(b) - TRAIN_WINDOW
+    if last <= 0:
+        return [b] if b else []
+    starts = np.linspace(0, last, min(WINDOWS_PER_DOC, -(-len(b) // TRAIN_WINDOW))).astype(np.int64).tolist()
+    return [b[i : i + TRAIN_WINDOW] for i in starts]
 
 
 def init(n_langs: int, seed: int = 11) -> dict[str, np.ndarray]:
@@ -71,11 +73,19 @@ def states(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False):
     return np.concatenate((hf, hb[::-1]), axis=1), kf, kb
 
 
-def log_labels(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The log probabilities of the languages, summed over the positions of each segment, (B, languages)."""
+def with_none(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The network with the symbol NONE, at which the update gate keeps the whole state."""
+    keep = np.zeros((3 * HIDDEN, 1), np.float32)
+    keep[:HIDDEN] = 100
+    return p | {d + "W": np.concatenate((p[d + "W"][:, :NONE], keep), axis=1) for d in "fb"}
+
+
+def log_labels(p: dict[str, np.ndarray], x: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """The log probabilities of the languages, summed over the counted (B, T) positions of each row, (B, languages)."""
     z = p["V"] @ states(p, x)[0] + p["c"]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
+    z *= counted.T[:, None]
     return z.sum(0).T
 
 
@@ -94,86 +104,59 @@ def train_step(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[
     return loss, g
 
 
-def train(segments: dict[str, Counter], langs: list[str], steps: int = STEPS, seed: int = 3) -> dict[str, np.ndarray]:
-    """segments: by language the counts of its segments. Steps draw languages alike and segments by the root of their counts."""
+def train(windows: dict[str, list[bytes]], langs: list[str], steps: int = STEPS, seed: int = 3) -> dict[str, np.ndarray]:
+    """windows: by language. Steps draw languages alike, and a language's windows alike."""
     rng = np.random.default_rng(seed)
     p = init(len(langs))
-    opt = gru.Adam(p, 0.005)
+    opt = gru.Adam(p, 0.01)
     pool: dict[int, list] = {}
     for k, lang in enumerate(langs):
-        items = sorted(segments[lang].items())
-        w = np.sqrt([c for _, c in items])
-        by: dict[int, list] = {}
-        for (s, _), v in zip(items, w / w.sum()):
-            by.setdefault(len(s), []).append((s, v))
-        for n, xs in by.items():
-            pool.setdefault(n, []).extend((s, k, v) for s, v in xs)
+        for w in sorted(windows[lang]):
+            pool.setdefault(len(w), []).append((w, k, 1 / len(windows[lang])))
     sizes = sorted(pool)
-    sets = {n: (np.frombuffer(b"".join(s for s, _, _ in pool[n]), np.uint8).reshape(-1, n), np.array([k for _, k, _ in pool[n]]), np.array([v for _, _, v in pool[n]])) for n in sizes}
-    share = np.array([sets[n][2].sum() for n in sizes])
-    cum = {n: np.cumsum(sets[n][2]) / sets[n][2].sum() for n in sizes}
+    sets = {n: (np.frombuffer(b"".join(w for w, _, _ in pool[n]), np.uint8).reshape(-1, n), np.array([k for _, k, _ in pool[n]]), np.cumsum([v for _, _, v in pool[n]])) for n in sizes}
+    share = np.array([sets[n][2][-1] for n in sizes])
     for step in range(steps):
         n = int(rng.choice(sizes, p=share / share.sum()))
-        x, y, _ = sets[n]
-        at = np.minimum(np.searchsorted(cum[n], rng.random(BATCH)), len(x) - 1)
-        opt.lr = 0.005 * (1 - 0.9 * step / steps)
+        x, y, cum = sets[n]
+        at = np.minimum(np.searchsorted(cum, rng.random(BATCH) * cum[-1]), len(x) - 1)
+        opt.lr = 0.01 * (1 - 0.9 * step / steps)
         opt.step(train_step(p, x[at], y[at])[1])
     return p
 
 
+def windows_of(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """Begin and end of the positions that a window counts, and of the bytes that it reads, over n bytes."""
+    k = -(-n // WINDOW)
+    for i in range(k):
+        a, b = n * i // k, n * (i + 1) // k
+        yield a, b, max(0, a - CONTEXT), min(n, b + CONTEXT)
+
+
 class Labeller:
-    """Sums of labels of texts; each distinct word is run once."""
+    """Sums of the labels of whole texts."""
 
     def __init__(self, p: dict[str, np.ndarray], n_langs: int) -> None:
-        self.p, self.n = p, n_langs
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[bytes, int] = {}
-        self.part_sums = np.zeros((0, self.n), np.float32)
-        self.sums = np.zeros((0, self.n), np.float32)
-        self.bytes = np.zeros(0, np.int64)
-
-    def learn_parts(self, parts: list[bytes]) -> None:
-        sums = np.zeros((len(parts), self.n), np.float32)
-        by: dict[int, list[int]] = {}
-        for k, b in enumerate(parts):
-            by.setdefault(len(b), []).append(k)
-        for size, at in by.items():
-            for i in range(0, len(at), 512):
-                part = at[i : i + 512]
-                sums[part] = log_labels(self.p, np.frombuffer(b"".join([parts[k] for k in part]), np.uint8).reshape(-1, size))
-        n = len(self.parts)
-        self.parts.update(zip(parts, range(n, n + len(parts))))
-        self.part_sums = np.concatenate((self.part_sums, sums))
-
-    def learn(self, words: list[str]) -> None:
-        split = [pieces(w) for w in words]
-        self.learn_parts(list(set(chain.from_iterable(split)).difference(self.parts)))
-        n = np.array([len(x) for x in split])
-        at = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, n.sum())
-        first = np.concatenate(([0], np.cumsum(n)[:-1]))
-        size = np.array([len(b) for x in split for b in x])
-        k = len(self.known)
-        self.known.update(zip(words, range(k, k + len(words))))
-        self.sums = np.concatenate((self.sums, np.add.reduceat(self.part_sums[at], first, axis=0)))
-        self.bytes = np.concatenate((self.bytes, np.add.reduceat(size, first)))
+        self.p, self.n = with_none(p), n_langs
+        #: Windows read at once: fewer of them where there are many languages, as each position has a label for each.
+        self.rows = max(8, min(256, 4_000_000 // ((WINDOW + 2 * CONTEXT) * n_langs)))
 
     def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By text the summed log probabilities and the number of positions."""
-        if len(self.known) > CACHE:
-            self.reset()
-        split = [t.split() for t in texts]
-        new = set().union(*map(set, split)).difference(self.known) if split else set()
-        if new:
-            self.learn(list(new))
-        out, n = np.zeros((len(texts), self.n)), np.zeros(len(texts))
-        for i, words in enumerate(split):
-            if words:
-                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-                out[i], n[i] = self.sums[at].sum(0, dtype=np.float64), self.bytes[at].sum()
-        return out, n
+        raw = [np.frombuffer(t.lower().encode("utf-8", "replace"), np.uint8) for t in texts]
+        at = np.array([(i, *w) for i, b in enumerate(raw) for w in windows_of(len(b))], np.int64).reshape(-1, 5)
+        at = at[np.argsort(at[:, 4] - at[:, 3], kind="stable")]
+        out = np.zeros((len(texts), self.n))
+        for k in range(0, len(at), self.rows):
+            some = at[k : k + self.rows]
+            doc, begin, end, first, last = some.T
+            steps = np.arange((last - first).max())
+            x = np.full((len(some), len(steps)), NONE, np.int16)
+            for row, (i, _, _, a, b) in zip(x, some.tolist()):
+                row[: b - a] = raw[i][a:b]
+            counted = (steps >= (begin - first)[:, None]) & (steps < (end - first)[:, None])
+            np.add.at(out, doc, log_labels(self.p, x, counted))
+        return out, np.array([len(b) for b in raw])
 
 
 def predict(labeller: Labeller | None, langs: list[str], texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -181,11 +164,10 @@ def predict(labeller: Labeller | None, langs: list[str], texts: list[str | None]
     if labeller is None:
         return lang, score
     some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-    for a in range(0, len(some), 200):
-        part = some[a : a + 200]
-        sums, n = labeller.labels([texts[i] for i in part])
-        p = gru.softmax(sums / np.maximum(n, 1)[:, None])
-        for i, row, best in zip(part, p, np.argmax(sums, 1)):
+    if some:
+        sums, n = labeller.labels([texts[i] for i in some])
+        p = gru.softmax(sums / n[:, None])
+        for i, row, best in zip(some, p, np.argmax(sums, 1)):
             lang[i], score[i] = langs[best], round(float(row[best]), 6)
     return lang, score
 
@@ -200,26 +182,20 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict:
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(docs_per_language / n))])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 52)) / float(1 << 52)
     sample = train_docs.filter(draw < F.try_element_at(share, "lang")).select("lang", "text")
-    segments: dict[str, Counter] = {}
 
     def make():
-        def count(langs, texts):
-            by: dict[str, Counter] = {}
-            for lang, t in zip(langs, texts):
-                by.setdefault(lang, Counter()).update(t.split())
-            rows = sorted((lang, w, n) for lang, c in by.items() for w, n in c.items())
-            return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-
-        return count
-
-    words = map_batches(sample, make, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    # The table is as large as the sample's vocabulary, which the sample bounds.
-    for r in words.collect():
-        c = segments.setdefault(r.lang, Counter())
-        for b in pieces(r.w):
-            c[b] += r.n
-    langs = sorted(segments)
-    return {"langs": langs, "p": train(segments, langs) if segments else None}
+        def cut(langs, texts):
+            rows = [(lang, w) for lang, t in zip(langs, texts) for w in train_windows(t)]
+            return [[r[0] for r in rows], [r[1] for r in rows]]
+
+        return cut
+
+    # As many windows as the sample's documents have, which is bounded by language.
+    windows: dict[str, list[bytes]] = {}
+    for r in map_batches(sample, make, "lang string, w binary").collect():
+        windows.setdefault(r.lang, []).append(bytes(r.w))
+    langs = sorted(windows)
+    return {"langs": langs, "p": train(windows, langs) if windows else None}
 
 
 def score(docs: DataFrame, fitted: dict) -> DataFrame:

@@ -114,6 +114,34 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert sorted(seen) == sorted(f"l{i}" for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1)
 
 
+def test_labels_of_whole_texts():
+    """Fillers change nothing, every position counts once, and the state passes from word to word."""
+    p, langs = language_id.init(3), ["a", "b", "c"]
+    texts = ["ein kurzer Text", "x", "Ärger über 10 % und mehr " * 60, "un deux\ttrois\n"]
+    whole = language_id.Labeller(p, 3)
+    sums, n = whole.labels(texts)
+    assert n.tolist() == [len(t.lower().encode()) for t in texts]
+    for t, s in zip(texts, sums):
+        assert np.allclose(whole.labels([t])[0][0], s, rtol=1e-5)
+        x = np.frombuffer(t.lower().encode(), np.uint8)[None]
+        by_hand = language_id.log_labels(p, x, np.ones(x.shape, bool))[0]
+        assert np.allclose(by_hand, s, rtol=1e-5 if len(t) < language_id.WINDOW else 1e-2)
+    for m in (1, language_id.WINDOW, language_id.WINDOW + 1, 5_000):
+        spans = list(language_id.windows_of(m))
+        assert [i for a, b, _, _ in spans for i in range(a, b)] == list(range(m))
+        assert all(first <= a and b <= last and last - first <= language_id.WINDOW + 2 * language_id.CONTEXT for a, b, first, last in spans)
+    assert not np.allclose(whole.labels(["ab cd"])[0], whole.labels(["ab"])[0] + whole.labels([" "])[0] + whole.labels(["cd"])[0])
+    assert language_id.predict(whole, langs, [None, "", " 12 !", "abc"])[0][:3] == ["und"] * 3
+
+
+def test_training_windows_span_the_text():
+    text = "".join(chr(97 + i % 26) for i in range(10_000))
+    got = language_id.train_windows(text)
+    assert len(got) == language_id.WINDOWS_PER_DOC and {len(w) for w in got} == {language_id.TRAIN_WINDOW}
+    assert got[0] == text[: language_id.TRAIN_WINDOW].encode() and got[-1] == text[-language_id.TRAIN_WINDOW :].encode()
+    assert language_id.train_windows("") == [] and language_id.train_windows("ab") == [b"ab"]
+
+
 # Substrings.
 def test_substrings_of_the_table(spark):
     docs = common.table(spark, SF, "documents")
