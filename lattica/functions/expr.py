@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
 from typing import Any
+from uuid import UUID
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,12 +17,17 @@ COMPARABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.Timest
 Scope = Callable[[str], Column]
 
 
+def _plain(x: Any) -> Any:
+    """An enum as its name and a UUID as its text, which is how columns hold them."""
+    return x.name if isinstance(x, Enum) else str(x) if isinstance(x, UUID) else x
+
+
 def _column(x: Any, scope: Scope) -> Column:
     if isinstance(x, Expr):
         return x.column(scope)
     if isinstance(x, Column):
         return x
-    return F.lit(x.name if isinstance(x, Enum) else x)
+    return F.lit(_plain(x))
 
 
 class Expr:
@@ -67,10 +73,10 @@ class Expr:
 
     def in_(self, *values: Any) -> Pred:
         """True for a value equal to one of these; with none it is false."""
-        return Pred(lambda s: self.column(s).isin(*(v.name if isinstance(v, Enum) else v for v in values)) if values else F.lit(False))
+        return Pred(lambda s: self.column(s).isin(*map(_plain, values)) if values else F.lit(False))
 
     def not_in(self, *values: Any) -> Pred:
-        return Pred(lambda s: ~self.column(s).isin(*(v.name if isinstance(v, Enum) else v for v in values)) if values else F.lit(True))
+        return Pred(lambda s: ~self.column(s).isin(*map(_plain, values)) if values else F.lit(True))
 
     def is_null(self) -> Pred:
         return Pred(lambda s: self.column(s).isNull())

@@ -8,6 +8,7 @@ from datetime import date, datetime
 from decimal import Decimal
 from enum import Enum
 from typing import Any
+from uuid import UUID
 
 PIECES = re.compile(r"""'(?:\\.|''|[^'\\])*'|"(?:\\.|""|[^"\\])*"|`(?:``|[^`])*`|\{[^{}]*\}|:[A-Za-z_]\w*|\?|.|\n""", re.S)
 
@@ -33,6 +34,8 @@ def literal(value: Any) -> str:
         return "TRUE" if value else "FALSE"
     if isinstance(value, Enum):
         return literal(value.name)
+    if isinstance(value, UUID):
+        return literal(str(value))
     if isinstance(value, int):
         return f"{value}L" if -(2**63) <= value < 2**63 else f"{value}BD"
     if isinstance(value, float):

@@ -8,12 +8,13 @@ from datetime import date, datetime
 from decimal import Decimal
 from enum import Enum
 from typing import Any
+from uuid import UUID
 
 from pyspark.sql import types as T
 
 PYTHON_TYPES: dict[Any, T.DataType] = {
     int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bool: T.BooleanType(), bytes: T.BinaryType(),
-    date: T.DateType(), datetime: T.TimestampType(), Decimal: T.DecimalType(19, 4), dict: T.MapType(T.StringType(), T.StringType()),
+    date: T.DateType(), datetime: T.TimestampType(), Decimal: T.DecimalType(19, 4), dict: T.MapType(T.StringType(), T.StringType()), UUID: T.StringType(),
 }
 
 

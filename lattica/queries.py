@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from uuid import UUID
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica import Catalog, Col, Embedded, ExtraJoin, Id, Other, Query, Select, Shape, Through, ToMany, ToOne, Values, coalesce, concat, length, lower, substring, upper, where
+from lattica import Catalog, Col, Embedded, ExtraJoin, Id, MappingError, Other, Query, Select, Shape, Through, ToMany, ToOne, Values, coalesce, concat, length, lower, substring, upper, where
 from lattica.operators import raw, write
 from lattica.sources import schema
 from lattica.streaming.iterate import each, iterate
@@ -444,6 +445,47 @@ def first_row(c: Catalog) -> DataFrame:
     return Query.of(OrderDetail, c).first_df().select("id", F.size("lines").cast("long").alias("n"))
 
 
+# Parts of a query replaced.
+flat("replace_where", Part, lambda q: q.where(q.f.size.lt(3)).set_where(q.f.size.gt(40), "{part.price} < 1500").select("id"), "SELECT p_partkey AS part_id FROM part WHERE p_size > 40 AND p_retailprice < 1500")
+flat("replace_joins", NationStats, lambda q: q.set_joins(ExtraJoin("inner", "region", "region", "{region}.r_regionkey = {this}.n_regionkey")).set_group_by().set_fields(id="{this}.n_nationkey", region="{region}.r_name"), "SELECT n_nationkey AS id, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+flat("replace_group_by", SegmentStats, lambda q: q.set_group_by("{this}.c_nationkey").set_order_by().set_fields(nation="{this}.c_nationkey", n="COUNT(*)"), "SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1")
+flat("replace_order_by", OrderedRegion, lambda q: q.order_by("{region.name}").set_order_by(q.f.id.desc()).limit(2), "SELECT r_regionkey AS region_id, r_name AS region_name FROM region ORDER BY 1 DESC LIMIT 2")
+flat("raw_date_functions", PlainOrder, lambda q: q.set_fields(id="{orders.id}", y="year({this}.o_orderdate)", m="month({this}.o_orderdate)", past="{this}.o_orderdate < now()"), "SELECT o_orderkey AS id, year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderdate < now()::TIMESTAMP AS past FROM orders")
+flat("where_uuid", FlatCustomer, lambda q: q.where(q.f.name.ne(UUID(int=1))).where("{customer.name} <> ?", UUID(int=2)).select("id"), "SELECT c_custkey AS customer_id FROM customer WHERE c_name <> '00000000-0000-0000-0000-000000000001' AND c_name <> '00000000-0000-0000-0000-000000000002'")
+
+
+@query("SELECT n_nationkey AS nation_id, n_name AS nation_name FROM nation")
+def proj_excluded(c: Catalog) -> DataFrame:
+    """What isn't declared as a field is no column."""
+    class Noted(Shape, table="nation"):
+        id = Id(int, "n_nationkey")
+        name = Col(str, "n_name")
+        note: str = "kept by the program only"
+
+    return Query.of(Noted, c).rows()
+
+
+@query("SELECT 'a join needs a condition' AS message UNION ALL SELECT 'no order' UNION ALL SELECT 'cycle'")
+def refused(c: Catalog) -> DataFrame:
+    """A join without a condition, an order of what has none, and shapes that lead back to themselves."""
+    class Ring(Shape, table="nation"):
+        id = Id(int, "n_nationkey")
+        flag = Col(bool)
+        next = ToOne("Ring", "n_nationkey")
+
+    class Flagged(Shape, table="nation"):
+        id = Id(int, "n_nationkey")
+        flag = Col(bool)
+
+    said = []
+    for mark, make in (("a join needs a condition", lambda: Query.of(Region, c).join("left", "nation", "n", "")), ("no order", lambda: Query.of(Flagged, c).f.flag.gt(True)), ("cycle", lambda: Query.of(Ring, c))):
+        try:
+            make()
+        except (MappingError, TypeError) as e:
+            said.append((mark if mark in str(e) else str(e),))
+    return c.spark.createDataFrame(said, "message string")
+
+
 # Entities.
 @query("SELECT o_orderkey AS id, count(DISTINCT (l_linenumber, l_quantity, l_extendedprice, l_partkey, l_returnflag)) FILTER (l_orderkey IS NOT NULL)::BIGINT AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def fold_to_many_sizes(c: Catalog) -> DataFrame:
@@ -614,6 +656,24 @@ def write_insert(c: Catalog) -> DataFrame:
     return write.inserted(c.table("nation"), _new(c).filter("n_nationkey > 3"))
 
 
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT NULL, NULL")
+def write_insert_without_values(c: Catalog) -> DataFrame:
+    return write.inserted(c.table("region"), c.spark.createDataFrame([("x",)], "nothing string"))
+
+
+@query("SELECT 'documents' AS table_name, doc_id, 'xx' AS value FROM (SELECT max(doc_id) + 1 AS doc_id FROM documents) UNION ALL SELECT 'labels', max(doc_id) + 1, '1' FROM documents")
+def write_insert_two_tables(c: Catalog) -> DataFrame:
+    """An entity of a joined subclass becomes a row of each table, under one id."""
+    new = c.table("documents").agg(F.max("doc_id") + 1).first()[0]
+    (docs, d), (labels, v) = write.extract(LabeledDocument, {"doc_id": new, "lang": "xx", "source": "s", "quality": 1, "toxic": 0})
+    out = []
+    for part, values, shown in ((docs, d, "lang"), (labels, v, "quality")):
+        have = c.table(part.table)
+        row = c.spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {have.schema[k].dataType.simpleString()}" for k in values))
+        out.append(write.inserted(have, row).join(have.select("doc_id"), "doc_id", "left_anti").select(F.lit(part.table).alias("table_name"), F.col("doc_id").cast("long").alias("doc_id"), F.col(shown).cast("string").alias("value")))
+    return out[0].union(out[1])
+
+
 @query("SELECT r_regionkey, r_name FROM region UNION ALL VALUES (5, 'MOON'), (6, 'SUN')")
 def write_insert_numbered(c: Catalog) -> DataFrame:
     new = c.spark.createDataFrame([("SUN",), ("MOON",)], "r_name string")
