@@ -21,6 +21,13 @@ windows straddles, and only of what can repeat:
 Windows without a trigger (long runs of low variety) are phrases longer than a window: units of their own,
 compared as a whole.
 
+Passages of over 50 words that documents share may be shorter than 400 bytes. They aren't removed but
+counted: of any 22 words in a row the one with the least hash is the trigger of a block of 30 words, so
+that every 51 words hold a whole block, the same wherever the same bytes stand. Block hashes go through
+step 1 with the units; ``n_shared_blocks`` counts a text's distinct blocks that another row holds too. It is
+above 0 for every text that shares 51 words (and the white space between them) with another row, 0 for
+one that shares fewer than 30 in a row.
+
 Scale: what is shuffled is packed, about one entry for 40 bytes in step 1, and only parts that can repeat
 after it. Entries that are alike within a task are settled there and one is sent on for them, so that a
 passage in a third of all texts sends one entry a task. No task holds more than its blocks or its shard,
@@ -54,6 +61,10 @@ FLUSH = 400_000
 DISTANCES = ((0, 63), (64, 127), (128, 199), (200, LENGTH - TRIGGER))
 BEFORE = 200
 LONE = len(DISTANCES)
+#: A passage of PASSAGE words holds a whole block of BLOCK words, which begins at one of PICK words.
+PASSAGE, BLOCK = 51, 30
+PICK = PASSAGE - BLOCK + 1
+SHARED = LONE + 1
 
 KEY = [("k1", "<i8"), ("k2", "<i8")]
 SPOT = [("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("kind", "u1")]
@@ -115,6 +126,37 @@ def units(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return x[np.argsort(x[:, 1], kind="stable")]
 
 
+def shared_blocks(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, begin and end of the blocks of texts that lie end to end."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    cut = np.zeros(len(raw) + 1, bool)  # a text begins here
+    cut[starts] = cut[ends] = True
+    begin = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    end = np.flatnonzero(inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    n = len(begin) - PASSAGE + 1  # passages
+    doc = np.searchsorted(starts, begin, "right") - 1
+    whole = doc[: max(n, 0)] == doc[PASSAGE - 1 :]
+    if not whole.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # A word's hash is that of 8 bytes at its own begin and at those of three more words of its block.
+    padded, first = np.concatenate((raw, np.zeros(8, np.uint8))), np.zeros(len(begin), np.uint64)
+    for k in range(8):
+        first |= padded[begin + k].astype(np.uint64) << np.uint64(8 * k)
+    v = np.zeros(n + PICK - 1, np.uint64)
+    for k in (0, 1, 3, 7):
+        v = (v ^ first[k : k + len(v)]) * np.uint64(0x9E3779B97F4A7C15)
+        v ^= v >> np.uint64(29)
+    # The least of PICK in a row, of equal ones the first.
+    v = v >> np.uint64(32) << np.uint64(32) | np.arange(len(v), dtype=np.uint64)
+    least, k = v, 1
+    while 2 * k <= PICK:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    least = np.minimum(least[:n], least[PICK - k : PICK - k + n])
+    at = np.unique(least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return doc[at], begin[at], end[at + BLOCK - 1]
+
+
 def context_of(a: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a unit's context begins and ends."""
     begin = a - np.where(kind == LONE - 1, BEFORE, 0)
@@ -249,12 +291,14 @@ PLACES = "range int, entries binary"
 
 
 def repeated_units(t: pa.Table, n_ranges: int) -> pa.Table:
-    """Step 1: the units of a range whose hash occurs twice."""
+    """Step 1: the units and blocks of a range whose hash occurs twice."""
     e, _ = unpack(t, UNIT)
     settled, e = e[e["how"] == SETTLED], e[e["how"] != SETTLED]
     _, same, _ = alike(e["hash"])
     n = np.bincount(same, 1 + (e["how"] == SEVERAL))
-    return by_key(np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)])), n_ranges)
+    e = np.concatenate((settled, e[(n[same] > 1) & (e["how"] == PLAIN)]))
+    parts = [by_key(e[(e["kind"] == SHARED) == k], n_ranges) for k in (False, True)]
+    return pa.concat_tables([x.append_column("shared", pa.array([k > 0] * len(x), pa.bool_())) for k, x in enumerate(parts)])
 
 
 def dictionary_ranks(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -381,21 +425,33 @@ def _bytes(text: str | None) -> bytes:
 def first_round(k1: list[int], k2: list[int], texts: list[str | None], _: list) -> tuple[np.ndarray, list[bytes]]:
     raw = [_bytes(t) for t in texts]
     sizes = np.array([len(x) for x in raw])
+    keys = np.array(k1, np.int64), np.array(k2, np.int64)
+
+    def laid(some: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes[some])
+        return b"".join(x for x, k in zip(raw, some) if k), np.flatnonzero(some), ends - sizes[some], ends
+
+    out = []
     some = sizes >= LENGTH  # shorter texts have no window, and empty ones would share a start
-    if not some.any():
-        return np.zeros(0, UNIT), []
-    data = b"".join(x for x, k in zip(raw, some) if k)
-    ends = np.cumsum(sizes[some])
-    starts = ends - sizes[some]
-    u = units(data, starts, ends)
-    e = np.zeros(len(u), UNIT)
-    doc = np.searchsorted(starts, u[:, 1], "right") - 1
-    e["hash"] = hash64(memoryview(data), *context_of(u[:, 0], u[:, 3]))
-    e["hash"] ^= u[:, 3].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    e["k1"], e["k2"] = np.array(k1, np.int64)[some][doc], np.array(k2, np.int64)[some][doc]
-    for f, c in (("a", 0), ("lo", 1), ("hi", 2)):
-        e[f] = u[:, c] - starts[doc]
-    e["kind"] = u[:, 3]
+    if some.any():
+        data, row, starts, ends = laid(some)
+        u = units(data, starts, ends)
+        doc = np.searchsorted(starts, u[:, 1], "right") - 1
+        out.append((hash64(memoryview(data), *context_of(u[:, 0], u[:, 3])), row[doc], u[:, 0] - starts[doc], u[:, 1] - starts[doc], u[:, 2] - starts[doc], u[:, 3]))
+    some = sizes > 0
+    if some.any():
+        data, row, starts, ends = laid(some)
+        doc, begin, end = shared_blocks(data, starts, ends)
+        h = hash64(memoryview(data), begin, end)
+        one, _, _ = alike(h, doc)  # a text's equal blocks count once
+        one = np.sort(one)
+        doc, begin = doc[one], begin[one] - starts[doc[one]]
+        out.append((h[one], row[doc], begin, begin, begin, np.full(len(one), SHARED)))
+    e = np.zeros(sum(len(x[0]) for x in out), UNIT)
+    if len(e):
+        e["hash"], row, e["a"], e["lo"], e["hi"], e["kind"] = map(np.concatenate, zip(*out))
+        e["hash"] ^= e["kind"].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        e["k1"], e["k2"] = keys[0][row], keys[1][row]
     return e, []
 
 
@@ -428,7 +484,7 @@ def removed_runs(p: np.ndarray) -> list[tuple[int, int]]:
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (begin, end in bytes) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans (begin, end in bytes) and n_shared_blocks of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -437,41 +493,45 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(16, chars // RANGE_CHARS)
     long = docs.filter(F.octet_length("text") >= LENGTH)
+    wordy = docs.filter(F.octet_length("text") >= 2 * PASSAGE - 1)
 
     def places_of(found: DataFrame) -> DataFrame:
         return found.groupBy("range").applyInArrow(gather, "k1 long, k2 long, places binary")
 
-    def reduced(entries: DataFrame, reduce: Callable[[pa.Table, int], pa.Table]) -> DataFrame:
-        return entries.groupBy("range").applyInArrow(lambda t: reduce(t, n), PLACES)
+    def reduced(entries: DataFrame, reduce: Callable[[pa.Table, int], pa.Table], schema: str = PLACES) -> DataFrame:
+        return entries.groupBy("range").applyInArrow(lambda t: reduce(t, n), schema)
 
-    one = packed_pass(long.select("k1", "k2", "text", F.lit(None).cast("int").alias("none")), first_round, ["hash"], n)
-    one = Written(reduced(one, repeated_units), "units")
-    with_places = long.join(places_of(one.read()), ["k1", "k2"]).select("k1", "k2", "text", "places")
+    one = packed_pass(wordy.select("k1", "k2", "text", F.lit(None).cast("int").alias("none")), first_round, ["hash"], n)
+    one = Written(reduced(one, repeated_units, PLACES + ", shared boolean"), "units")
+    units_found, blocks_found = (one.read().filter(c).drop("shared") for c in ("not shared", "shared"))
+    with_places = long.join(places_of(units_found), ["k1", "k2"]).select("k1", "k2", "text", "places")
     two = packed_pass(with_places, second_round, ["c2", "c1", "more", "hash"], n)
-    found = Written(reduced(two, repeated_places), "repeats").read()
+    found = Written(reduced(two, repeated_places).union(blocks_found), "repeats").read()
     one.drop()
     joined = docs.join(places_of(found), ["k1", "k2"], "left").select("doc_id", "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for doc_id, text, places in zip(*(c.to_pylist() for c in b.columns)):
                 raw = _bytes(text)
-                runs = removed_runs(np.frombuffer(places, PLACE)) if places else []
+                p = np.frombuffer(places or b"", PLACE)
+                shared = p["kind"] == SHARED
+                runs = removed_runs(p[~shared]) if not shared.all() else []
                 kept, at = hashlib.sha256(), 0
                 for s, e in runs:
                     kept.update(raw[at:s])
                     at = e
                 kept.update(raw[at:])
-                row = (doc_id, len(raw), sum(e - s for s, e in runs), len(runs), kept.hexdigest(), [{"begin": s, "end": e} for s, e in runs])
+                row = (doc_id, len(raw), sum(e - s for s, e in runs), len(runs), kept.hexdigest(), [{"begin": s, "end": e} for s, e in runs], int(shared.sum()))
                 for c, v in zip(out, row):
                     c.append(v)
             spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), spans))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), spans, pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "n_shared_blocks"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<begin: long, end: long>>")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<begin: long, end: long>>, n_shared_blocks long")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query op5: every text of ``documents`` without its repeated 400-byte strings."""
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Query op5: every text of ``documents`` without its repeated 400-byte strings, and how many blocks of 30 words it shares with others."""
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_blocks")

@@ -1,6 +1,7 @@
 """Clashing columns, empty tables, ties, long texts and small recomputations of the operators."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -161,6 +162,48 @@ def test_substrings_of_the_table(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), int(cover.sum()), kept)
 
 
+def spans_of_words(b, n):
+    """All runs of n words of a text, as bytes."""
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    return {b[at[i][0] : at[i + n - 1][1]] for i in range(len(at) - n + 1)}
+
+
+def assert_shared(docs, rows):
+    """Every text that shares 51 words counts blocks, none that doesn't share 30 does."""
+    raw = [(r.text or "").encode() for r in rows]
+    got = {r.doc_id: r.n_shared_blocks for r in substring_dedup.substring_dedup(docs).collect()}
+    long, short = ([spans_of_words(b, n) for b in raw] for n in (51, 30))
+    in_long, in_short = (Counter(x for s in sets for x in s) for sets in (long, short))
+    kinds = Counter()
+    for r, a, b in zip(rows, long, short):
+        must, may = any(in_long[x] > 1 for x in a), any(in_short[x] > 1 for x in b)
+        assert got[r.doc_id] > 0 if must else may or got[r.doc_id] == 0, r.doc_id
+        kinds[must, got[r.doc_id] > 0] += 1
+    return kinds
+
+
+def test_shared_blocks_of_the_table(spark):
+    docs = common.table(spark, SF, "documents")
+    kinds = assert_shared(docs, docs.collect())
+    assert kinds[True, True] and kinds[False, False]
+
+
+def test_shared_blocks_of_short_passages(spark):
+    """Passages of 51 words far below 400 bytes, at any place of a text, and low variety."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    rows = []
+    for _ in range(20):
+        passage = some(51)
+        rows += [passage, f"{some(int(rng.integers(1, 90)))}\n{passage} {some(int(rng.integers(0, 90)))}"]
+    rows += [some(120) for _ in range(20)] + [some(29) + "\t" + x + " " + some(29) for x in [some(29)] * 2]
+    rows += ["a " * 200, "a " * 60, "b " * 300, "", None, " \n", "ünd " * 51, "vor ünd " + "ünd " * 51, "x" * 900]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kinds = assert_shared(docs.repartition(5), docs.collect())
+    assert kinds[True, True] >= 44 and not kinds[False, True]
+
+
 def test_suffix_arrays():
     """Ranks of a dictionary's suffixes, the parse's order and its minima, against sorting by hand."""
     rng = np.random.default_rng(4)
