@@ -22,7 +22,7 @@ def query(catalog: Catalog, sql: str, *params: Any, **named: Any) -> DataFrame:
         for name in {m.lower() for m in NAMED_TABLE.findall(sql)}:
             if (None, name) not in catalog.frames:
                 try:
-                    catalog.table(name)
+                    catalog.stored(name)
                 except AnalysisException:  # no file of that name: a subquery's, a view's or a column's
                     pass
     for (schema, name), df in catalog.frames.items():

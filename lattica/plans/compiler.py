@@ -209,6 +209,8 @@ class _Builder:
         on = f"{quote(*self.id_of(node))} = {quote(link, f.key or f'{part.table}_id')}"
         self.joins.append(Join("left", f.table, f.schema, link, on, alias))
         ids = target.ids()
+        if not f.on and len(ids) != 1:
+            raise MappingError(f"{target.__name__} has {len(ids)} ids; name the condition to join by")
         on = f"{quote(link, f.target_key or f'{target.table()}_id')} = {quote(alias, ids[0].column)}"
         if f.on:
             on = self.condition(f.on, node, alias, link)

@@ -9,7 +9,7 @@ from uuid import UUID
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica import Catalog, Col, Embedded, ExtraJoin, Id, MappingError, Other, Query, Select, Shape, Through, ToMany, ToOne, Values, coalesce, concat, length, lower, substring, upper, where
+from lattica import Catalog, Col, Embedded, EngineConfig, ExtraJoin, Id, MappingError, Other, Query, Select, Shape, Through, ToMany, ToOne, Values, coalesce, concat, length, lower, substring, upper, where
 from lattica.operators import raw, write
 from lattica.sources import schema
 from lattica.streaming.iterate import each, iterate
@@ -630,6 +630,25 @@ def scan_schema_qualified(c: Catalog) -> DataFrame:
     return Query.of(OtherRegion, Catalog(c.spark).add("region", c.table("region"), "elsewhere")).rows()
 
 
+@query("SELECT n_nationkey AS nation_id, n_name AS nation_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
+def configured_engine(c: Catalog) -> DataFrame:
+    class StoredRegion(Shape, table="REGION"):
+        id = Id(int, "r_regionkey")
+        name = Col(str, "r_name")
+
+    class StoredNation(Shape, table="NATION"):
+        id = Id(int, "n_nationkey")
+        name = Col(str, "n_name")
+        region = ToOne(StoredRegion, "n_regionkey")
+
+    config = EngineConfig().named(str.lower).in_schema("kept").sized(input_bytes=1 << 20, cores=4)
+    stored = Catalog(c.spark, config=config)
+    for name in ("region", "nation"):
+        stored.add(name, c.table(name), "kept")
+    q = Query.of(StoredNation, stored)
+    return q.select("id", "name").where(q.f.region.name == "ASIA").rows().toDF("nation_id", "nation_name")
+
+
 @query("SELECT * FROM (VALUES ('nation', 'n_nationkey', 'int'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int'), ('region', 'r_regionkey', 'int'), ('region', 'r_name', 'string')) t(table_name, column_name, data_type)")
 def catalog_columns(c: Catalog) -> DataFrame:
     return c.tables().filter("table_name IN ('nation', 'region')").select("table_name", "column_name", "data_type")

@@ -7,12 +7,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lattica.sources.config import EngineConfig
+
 
 class Catalog:
-    """Tables by name, optionally within a schema; later registrations win."""
+    """Tables by name, optionally within a schema; later registrations win. With a config, in a session of its settings."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, format: str = "parquet", options: dict[str, Any] | None = None) -> None:
-        self.spark, self.folder, self.format, self.options = spark, folder, format, options or {}
+    def __init__(self, spark: SparkSession, folder: str | None = None, format: str = "parquet", options: dict[str, Any] | None = None, config: EngineConfig | None = None) -> None:
+        self.config = config or EngineConfig()
+        self.spark = self.config.session(spark) if self.config.settings else spark
+        self.folder, self.format, self.options = folder, format, options or {}
         self.frames: dict[tuple[str | None, str], DataFrame] = {}
 
     def add(self, name: str, df: DataFrame, schema: str | None = None) -> Catalog:
@@ -29,6 +33,11 @@ class Catalog:
         return self.add(name, self.spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), schema)
 
     def table(self, name: str, schema: str | None = None) -> DataFrame:
+        """The table of a shape's name, as the config names it."""
+        return self.stored(self.config.table_name(name), schema or self.config.schema)
+
+    def stored(self, name: str, schema: str | None = None) -> DataFrame:
+        """The table of a stored name."""
         found = self.frames.get((schema, name))
         if found is not None:
             return found
@@ -46,6 +55,6 @@ class Catalog:
             for f in fs.listStatus(p):
                 name = f.getPath().getName()
                 if name.endswith(f".{self.format}"):
-                    self.table(name[: -len(self.format) - 1])
+                    self.stored(name[: -len(self.format) - 1])
         rows = [(s, n, f.name, f.dataType.simpleString(), f.nullable) for (s, n), df in sorted(self.frames.items(), key=lambda x: (x[0][0] or "", x[0][1])) for f in df.schema]
         return self.spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, data_type string, nullable boolean")

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lattica import Catalog, Col, Embedded, Id, MappingError, Other, Query, Shape, Through, ToMany, ToOne, Values, substring, where
+from lattica import Catalog, Col, Embedded, EngineConfig, Id, MappingError, Other, Query, Shape, Through, ToMany, ToOne, Values, substring, where
 from lattica.operators import raw
 from lattica.operators.write import StaleObjectError, Store
 from lattica.queries import ORACLES, QUERIES, Customer, CustomerOrders, Document, Order, OrderDetail, Region
@@ -324,3 +324,47 @@ def test_changes_between_sessions_are_seen(spark, tmp_path):
 def test_rows_from_elsewhere_need_all_columns(spark, boxes):
     with pytest.raises(MappingError):
         Query.of(Box, boxes).fold_rows(spark.createDataFrame([(1,)], "`box.id` long"))
+
+
+def test_jdbc(spark):
+    """Tables of a database (one in this JVM's memory), read in parallel parts, filters sent to it."""
+    url, driver = "jdbc:derby:memory:lattica;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    for name in ("customer", "nation", "region"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        types = ", ".join(f"{f.name} VARCHAR(200)" for f in df.schema if f.dataType.simpleString() == "string")
+        df.write.format("jdbc").mode("overwrite").options(url=url, dbtable=name, driver=driver, createTableColumnTypes=types).save()
+    c = Catalog(spark).add_jdbc("region", url, "region", driver=driver).add_jdbc("nation", url, "nation", driver=driver)
+    c.add_jdbc("customer", url, "customer", driver=driver, partitionColumn="c_custkey", lowerBound="1", upperBound="150", numPartitions="3")
+    assert c.table("customer").rdd.getNumPartitions() == 3
+
+    def asia(c):
+        q = Query.of(Customer, c)
+        return q.where(q.f.nation.region.name == "ASIA", q.f.balance > 0).rows()
+
+    assert sorted(map(str, asia(c).collect())) == sorted(map(str, asia(Catalog(spark, SF)).collect()))
+    assert "*EqualTo(r_name,ASIA)" in asia(c)._jdf.queryExecution().toString()
+
+
+def test_engine_config(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    config = EngineConfig().set("spark.sql.ansi.enabled", False).sized(input_bytes=100 << 40, cores=4000)
+    c = Catalog(spark, SF, config=config)
+    assert c.spark.conf.get("spark.sql.shuffle.partitions") == str((100 << 40) // (128 << 20)) and c.spark.conf.get("spark.sql.ansi.enabled") == "false"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and c.spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert EngineConfig().sized(1, 8).settings["spark.sql.shuffle.partitions"] == "16" and EngineConfig().settings == {}
+    assert Query.of(Region, c).rows().count() == 5
+    with pytest.raises(ValueError):
+        EngineConfig().set("spark.sql.warehouse.dir", "/elsewhere").session(spark)
+
+
+def test_links_to_composite_ids_need_a_condition(spark):
+    class Two(Shape, table="two"):
+        a = Id(int)
+        b = Id(int)
+
+    class Many(Shape, table="many"):
+        id = Id(int)
+        twos = Through(Two, table="many_two")
+
+    with pytest.raises(MappingError):
+        Query.of(Many, Catalog(spark, SF)).rows()
