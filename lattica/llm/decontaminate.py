@@ -6,10 +6,11 @@ masked hashes of the benchmark are joined with those of every document; around e
 and the item are compared word by word along the hit's diagonal, and the stretch with the best score
 (1 for an equal word, -2 for another) counts if it holds ``min_match`` equal words.
 
-Scale: the benchmark is worked off in blocks of at most ``block_chars`` characters (4 million make an index
-of about 100 MB); each block's index is the only thing sent to the executors, and documents stream past it
-in Arrow batches. Nothing of a document is shuffled, so hot passages or sources have no group to overload.
-The benchmark itself passes through the driver; it is the small side, and each block costs a scan of the documents.
+Scale: the benchmark is worked off in blocks of about ``block_chars`` characters (4 million make an index
+of about 100 MB); a block's items are the only thing sent to the executors, where each Python worker makes
+the index once, and documents stream past it in Arrow batches. Nothing of a document is shuffled, so hot
+passages or sources have no group to overload. The benchmark's texts pass through the driver; it is the
+small side, and each block costs a scan of the documents.
 
 Defined results: null or empty texts hold nothing; an overlap needs 4 distinct equal words, or all the
 item's where it has 2 or 3; an item of one word over and over is never found; an item of fewer than 8
@@ -20,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -143,6 +145,21 @@ class Index:
         return int(part.sum()), a + start, end - start
 
 
+class Block:
+    """Items of the benchmark, sent as they are; a worker makes their index once and holds one index at a time."""
+
+    held: tuple[str, Index] | None = None
+
+    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+        self.name, self.items = uuid.uuid4().hex, items
+
+    def index(self) -> Index:
+        if Block.held is None or Block.held[0] != self.name:
+            Block.held = None
+            Block.held = self.name, Index(self.items)
+        return Block.held[1]
+
+
 def find(index: Index, texts: list[str | None], ids: Ids, min_match: int = MIN_MATCH) -> list[tuple[int, int, int, int, int]]:
     """(text, item, equal words, first word, words) of the best overlap of each text and item."""
     out = []
@@ -163,20 +180,21 @@ def find(index: Index, texts: list[str | None], ids: Ids, min_match: int = MIN_M
     return out
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Index]:
-    """Indexes of the benchmark's blocks, each made of items of about block_chars characters together."""
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Block]:
+    """The benchmark's blocks, each of items of about block_chars characters together."""
     total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_chars))
     rows = benchmark.select("item_id", "text")
     parts = (rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n))
-    return [Index([(r.item_id, r.text) for r in sorted(p.collect(), key=lambda r: (r.item_id is None, r.item_id))]) for p in parts]
+    return [Block([(r.item_id, r.text) for r in sorted(p.collect(), key=lambda r: (r.item_id is None, r.item_id))]) for p in parts]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_match, first_word, n_words: a row for each document and item that overlap."""
 
-    def one(index: Index) -> DataFrame:
+    def one(block: Block) -> DataFrame:
         def make():
+            index = block.index()
             ids = Ids(index.vocabulary)
 
             def rows(doc_ids, texts):
@@ -195,9 +213,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int =
     cols = docs.columns
     at = cols.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for index in blocks(benchmark, block_chars):
+    for block in blocks(benchmark, block_chars):
 
-        def make(index=index):
+        def make(block=block):
+            index = block.index()
             ids = Ids(index.vocabulary)
 
             def rows(*columns):

@@ -297,6 +297,20 @@ def test_decontaminate_items_of_few_words(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
 
 
+def test_decontaminate_in_blocks(spark):
+    """Many blocks find what one does, and the driver sends texts, not indexes."""
+    rng = np.random.default_rng(9)
+    items = [(j, " ".join(rng.choice([f"w{k}" for k in range(400)], 20))) for j in range(30)]
+    bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {items[i % 30][1]} behind" if i % 2 else "clean") for i in range(40)], "doc_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    small = sorted(map(tuple, decontaminate.contaminated(docs, bench, block_chars=400).collect()))
+    assert whole == small and [(r[0], r[1]) for r in whole] == [(i, i % 30) for i in range(40) if i % 2]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench, block_chars=400).collect()} == set(range(0, 40, 2))
+    parts = decontaminate.blocks(bench, 400)
+    assert len(parts) > 3 and sum(len(b.items) for b in parts) == 32 and not any(isinstance(v, decontaminate.Index) for b in parts for v in vars(b).values())
+
+
 # Quality and toxicity.
 def test_quality_scores_by_hand(spark):
     """A score is the logistic function of the scaled distance of a document's strength to the cut."""
