@@ -31,7 +31,8 @@ one that shares fewer than 30 in a row.
 Scale: what is shuffled is packed, about one entry for 40 bytes in step 1, and only parts that can repeat
 after it. Entries that are alike within a task are settled there and one is sent on for them, so that a
 passage in a third of all texts sends one entry a task. No task holds more than its blocks or its shard,
-and no pairs are formed. Texts are joined with their own places by keys of 128 bits.
+and no pairs are formed. Texts are joined with their own places by keys of 128 bits. Each step's shuffle files
+go as soon as its result is written.
 
 Defined results: a null text is an empty one; texts below 400 bytes lose nothing; rows that repeat a
 text are copies of each other, whatever their doc_id; an empty table gives an empty result; extra
@@ -50,7 +51,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Written, small_batches, table
+from lattica.llm.common import Written, shuffles_released, small_batches, table
 
 LENGTH = 400
 TRIGGER = 16
@@ -490,7 +491,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = docs.withColumn("k1", F.xxhash64(doc_id, "text")).withColumn("k2", F.xxhash64(F.lit("second"), "text", doc_id))
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    with shuffles_released(spark):
+        chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(16, chars // RANGE_CHARS)
     long = docs.filter(F.octet_length("text") >= LENGTH)
     wordy = docs.filter(F.octet_length("text") >= 2 * PASSAGE - 1)
@@ -502,11 +504,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         return entries.groupBy("range").applyInArrow(lambda t: reduce(t, n), schema)
 
     one = packed_pass(wordy.select("k1", "k2", "text", F.lit(None).cast("int").alias("none")), first_round, ["hash"], n)
-    one = Written(reduced(one, repeated_units, PLACES + ", shared boolean"), "units")
+    with shuffles_released(spark):
+        one = Written(reduced(one, repeated_units, PLACES + ", shared boolean"), "units")
     units_found, blocks_found = (one.read().filter(c).drop("shared") for c in ("not shared", "shared"))
     with_places = long.join(places_of(units_found), ["k1", "k2"]).select("k1", "k2", "text", "places")
     two = packed_pass(with_places, second_round, ["c2", "c1", "more", "hash"], n)
-    found = Written(reduced(two, repeated_places).union(blocks_found), "repeats").read()
+    with shuffles_released(spark):
+        found = Written(reduced(two, repeated_places).union(blocks_found), "repeats").read()
     one.drop()
     joined = docs.join(places_of(found), ["k1", "k2"], "left").select("doc_id", "text", "places")
 

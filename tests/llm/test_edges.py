@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -162,6 +163,28 @@ def test_substrings_of_the_table(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), int(cover.sum()), kept)
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {x for x in files.mkString("|").split("|") if "/shuffle_" in x}
+
+
+def test_substrings_release_shuffles(spark):
+    """Before its last step runs, op5 holds no shuffle files of the steps that are written; the setting is put back."""
+    key, docs = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", common.table(spark, SF, "documents")
+    for value in (None, "false"):
+        if value:
+            spark.conf.set(key, value)
+        before = shuffle_files(spark)
+        out = substring_dedup.substring_dedup(docs)
+        assert spark.conf.get(key, None) == value
+        spark.conf.unset(key)
+        until = time.time() + 3  # files go in the background
+        while (left := shuffle_files(spark) - before) and time.time() < until:
+            time.sleep(0.1)
+        assert not left
+        assert out.count() == out.count() == docs.count()
+
+
 def spans_of_words(b, n):
     """All runs of n words of a text, as bytes."""
     at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
